@@ -8,12 +8,13 @@ salted groups of bounded size, so a length that a third of all rows share is sti
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections import defaultdict
-from collections.abc import Callable
 from heapq import heappop, heappush
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,31 +62,80 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
+#: One Words per tokenizer in a Python worker, which runs many tasks one after the other.
+_WORDS: dict[str, "Words"] = {}
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_MARKS = ".,!?;:#%&$*|()\""
+
+
+def _alphabet() -> dict[int, str]:
+    """Byte-level BPE's printable letter for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Words:
     """Token ids of whole texts, kept per stretch between plain spaces, at which the tokenizer always splits.
 
-    Only the space, tab and line ends count as such; any other white space is left to the tokenizer. most bounds
-    the memory of one task, not the result: beyond it the kept stretches are dropped and encoded again.
+    Only the space, tab and line ends count as such; any other white space is left to the tokenizer. A stretch of
+    Latin letters and marks after them is two of the tokenizer's own pieces: its merges are asked for the lower-cased
+    letters alone, which many stretches share; everything else goes through the whole tokenizer. most bounds the
+    memory of one worker, not the result: beyond it what is kept is dropped and encoded again.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
+        known = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (known["normalizer"] or {}).get("normalizers", [])]
+        split = [n["type"] for n in (known["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        # the short way is right for this tokenizer's normalizer and pieces; others take the long way throughout
+        self.short = steps == ["NFC", "Replace", "Lowercase"] and split == ["Split", "ByteLevel"]
+        self.model, self.letters, self.most = self.tokenizer.model, _alphabet(), most
+        self._clear()
+
+    def _clear(self) -> None:
         self.kept: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.cores: dict[str, bytes] = {}
+
+    def _encode(self, new: list[str]) -> None:
+        whole = []
+        for w in new:
+            core = w.rstrip(_MARKS)
+            low = core.lower()
+            if not (self.short and _LATIN.fullmatch(low)):
+                whole.append(w)
+                continue
+            ids = self.cores.get(low)
+            if ids is None:
+                text = low.encode().decode("latin-1").translate(self.letters)
+                self.cores[low] = ids = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            marks = w[len(core) :]
+            if marks:
+                more = self.kept.get(marks)
+                if more is None:
+                    self.kept[marks] = more = self._whole([marks])[0]
+                ids += more
+            self.kept[w] = ids
+        for at in range(0, len(whole), 20_000):
+            some = whole[at : at + 20_000]
+            self.kept.update(zip(some, self._whole(some)))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Per text its ids, little-endian unsigned 32-bit."""
         if len(self.kept) > self.most:
-            self.kept = {"": b""}
+            self._clear()
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         kept = self.kept
         new = [w for w in set().union(*split) if w not in kept]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(kept.__getitem__, words)), "<u4") for words in split]
+        if new:
+            self._encode(new)
+        return [b"".join(map(kept.__getitem__, words)) for words in split]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:
@@ -96,14 +146,16 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
 
     def make():
-        words = Words(tokenizer)
+        if tokenizer not in _WORDS:
+            _WORDS[tokenizer] = Words(tokenizer)
+        words = _WORDS[tokenizer]
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 for doc, ids in zip(part.column(0).to_pylist(), words.encode([x or "" for x in part.column(1).to_pylist()])):
-                    raw, n = ids.tobytes() + int(end).to_bytes(4, "little"), len(ids) + 1
+                    raw, n = ids + int(end).to_bytes(4, "little"), len(ids) // 4 + 1
                     for k, start in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - start)
                         out.append((doc, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
