@@ -20,6 +20,9 @@ from chronolith.llm.common import connected_components, map_rows, materialize
 
 #: Vectors the pivots are chosen from, pivots, nearest pivots of a vector, pivots a pair must share.
 SAMPLE, PIVOTS, NEAREST, SHARED = 4096, 256, 8, 2
+#: No two pivots are as alike as this: of a crowd of near copies one is a pivot at most, so that all of them see the
+#: same pivots in nearly the same order.
+APART = 0.7
 #: Vectors of one block of a list; rows of one group of short lists.
 LIST_ROWS, GROUP_ROWS = 1500, 6000
 
@@ -41,7 +44,7 @@ def choose_pivots(reps: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS) -
     for dim in {len(r["v"]) for r in rows}:
         x = _unit(np.array([r["v"] for r in rows if len(r["v"]) == dim]))
         near, picked = np.full(len(x), -2.0), []
-        for _ in range(min(pivots, len(x))):
+        while len(picked) < min(pivots, len(x)) and near.min() < APART:
             picked.append(int(np.argmin(near)))
             near = np.maximum(near, x @ x[picked[-1]])
             near[picked] = 3
