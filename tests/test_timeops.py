@@ -66,7 +66,7 @@ def test_closest_with_gaps(spark):
 
 @pytest.mark.parametrize(("mode", "t", "want"), [("closest", 0.2, 101.0), ("previous", 0.2, 101.0), ("linear", 0.2, 102.0), ("linear", 9.0, 104.0), ("previous", -1.0, 100.0)])
 def test_gap_fixture(spark, mode, t, want):
-    s = spark.createDataFrame([(1, "a", 0.0, 100.0), (1, "a", 0.1, 101.0), (1, "a", 0.2, None), (1, "a", 0.3, 103.0), (1, "a", 0.4, 104.0)], "k int, s string, t double, v double")
+    s = spark.createDataFrame([(1, "a", 0.0, 100.0), (1, "a", 0.1, 101.0), (1, "a", 0.2, None), (1, "a", 0.1 * 3, 103.0), (1, "a", 0.4, 104.0)], "k int, s string, t double, v double")
     r = spark.createDataFrame([(1, "a", t)], "k int, s string, t double")
     got = timeops.get_slice_gaps(s, s, r, ["k"], ["s"]) if mode == "closest" else timeops.get_slice(s, r, ["k", "s"], mode)
     assert got.first()["v"] == pytest.approx(want)
