@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Hashed words and character n-grams have learned vectors; a document is the mean of all of its vectors, and a
+Hashed words, character n-grams and pairs of words have learned vectors (of pairs, those of one word with itself, all
+as one: which word is repeated doesn't matter); a document is the mean of all of its vectors, and a
 softmax layer reads it. Trained by numpy stochastic gradient descent on a bounded sample of labelled rows. As the
 output layer is linear, a vector enters a score only as its product with that layer, so scoring needs one number
 per bucket, and a word's share is remembered.
@@ -8,6 +9,10 @@ per bucket, and a word's share is remembered.
 
 from __future__ import annotations
 
+import operator
+from collections import Counter
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,12 +27,15 @@ BUCKETS, DIM, GRAMS = 1 << 17, 12, (2, 3, 4)
 EPOCHS, RATE, SEED = 6, 0.4, 11
 THRESHOLD = 0.3
 
+#: Buckets that a repeated word adds to, so that it weighs about as much as the word's own n-grams.
+REPEATS = 8
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fold(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
-    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
+    return REPEATS + ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS - REPEATS)).astype(np.int64)
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,12 +62,23 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def repeats(words: list[str]) -> int:
+    """How many words are the same as the one before."""
+    return sum(map(operator.eq, words, islice(words, 1, None)))
+
+
 def _document(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Its buckets and how often each occurs."""
-    words, times = np.unique(np.array(text.split(), dtype=object), return_counts=True) if text.split() else ([], [])
-    buckets, owners = subwords(list(words))
+    words = text.split()
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    own = Counter(words)
+    buckets, owners = subwords(list(own))
     ids, inverse = np.unique(buckets, return_inverse=True)
-    return ids, np.bincount(inverse, np.asarray(times, np.float64)[owners], len(ids)).astype(np.float32)
+    times = np.bincount(inverse, np.array(list(own.values()), np.float64)[owners], len(ids))
+    if again := repeats(words):
+        ids, times = np.append(np.arange(REPEATS), ids), np.append(np.full(REPEATS, again), times)
+    return ids, times.astype(np.float32)
 
 
 def train(rows: list[tuple[int, str, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
@@ -101,10 +120,16 @@ def _scorer(weights: np.ndarray, bias: float):
         buckets, owners = subwords(new)
         return np.stack([np.bincount(owners, weights[buckets], len(new)), np.bincount(owners, minlength=len(new))], axis=1)
 
+    again = float(weights[:REPEATS].sum())
+
+    def add(values: np.ndarray, words: list[str]) -> np.ndarray:
+        n = repeats(words)
+        return values.sum(axis=0) + (n * again, n * REPEATS)
+
     def finish(s):
         return (float(1 / (1 + np.exp(-np.clip((s[0] / s[1] if s is not None else 0.0) + bias, -500, 500)))),)
 
-    return Scorer(words), finish
+    return Scorer(words, add), finish
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

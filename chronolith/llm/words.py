@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import map_rows
 
 #: Words that a task remembers at most; beyond it they are scored again.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Remainder of crc32(doc_id as text) modulo FOLDS that is never learnt from.
 FOLDS, HELD_OUT = 5, 0
 
@@ -38,9 +38,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
 
 
 class Scorer:
-    """Per text, what score says of its words (split at white space), added up; words are remembered."""
+    """Per text, what score says of its words (split at white space), put together by add; words are remembered."""
 
-    def __init__(self, score: Callable[[list[str]], np.ndarray], add: Callable = lambda values: values.sum(axis=0), most: int = KEPT_WORDS):
+    def __init__(self, score: Callable[[list[str]], np.ndarray], add: Callable = lambda values, words: values.sum(axis=0), most: int = KEPT_WORDS):
         self.score, self.add, self.most = score, add, most
         self._clear()
 
@@ -68,7 +68,7 @@ class Scorer:
         if new:
             self._learn(new)
         get = self.at.__getitem__
-        return [self.add(self.values[np.fromiter(map(get, x), np.int64, len(x))]) if x else None for x in split]
+        return [self.add(self.values[np.fromiter(map(get, x), np.int64, len(x))], x) if x else None for x in split]
 
 
 def score_texts(docs: DataFrame, make: Callable[[], tuple[Scorer, Callable]], schema: str, id_col: str = "doc_id", text_col: str = "text", group: int = 64) -> DataFrame:
