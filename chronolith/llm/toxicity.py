@@ -1,8 +1,9 @@
 """Toxicity: cumulative-link ordinal regression over sparse word features.
 
 P(grade > k) = sigmoid(w.x - theta_k) with one weight vector for all of the ordered thresholds; a document's result
-is its expected severity. Features are words (lower case, letters only) that tell toxic documents from others in
-the labelled sample; x counts them as log(1 + n), so long texts aren't diluted.
+is its expected severity. Features are words (lower case, letters only) and beginnings of words that tell toxic
+documents from others in the labelled sample. x holds each one's count n as log(1 + n), which long texts don't dilute,
+and its density as log(1 + 100 n / words), which short texts don't hide.
 
 The labels say toxic or not. Grades are made from them: 0 for not toxic; toxic documents have grade 1 to GRADES - 1
 by how many occurrences of the telling words they hold (1, 2-3, 4 and more).
@@ -22,7 +23,9 @@ from chronolith.llm.words import Scorer, held_out, sample, score_texts
 SAMPLE_ROWS, SAMPLE_CHARS, FEATURES = 6000, 200_000, 256
 GRADES = 4
 #: A word is a feature if toxic documents hold it this often and this many times as often as others.
-LEAST, LIFT = 4, 4.0
+LEAST, LIFT = 4, 2.0
+#: Lengths of the beginnings of words.
+PREFIXES = (5, 7)
 
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -31,6 +34,17 @@ def normal(word: str) -> str:
     return word.lower() if word.isalpha() else _OTHER.sub("", word).lower()
 
 
+def features(word: str) -> list[str]:
+    """The word, and its beginnings marked by ^; none for a word without letters."""
+    w = normal(word)
+    return [w, *("^" + w[:k] for k in PREFIXES if len(w) > k)] if w else []
+
+
+def values(n: np.ndarray, words) -> np.ndarray:
+    """x from counts n (features last) and numbers of words."""
+    return np.concatenate([np.log1p(n), np.log1p(100 * n / np.maximum(words, 1))], axis=-1)
+
+
 def choose(bags: list[dict[str, int]], toxic: np.ndarray, features: int = FEATURES) -> list[str]:
     """The words whose presence tells most (G statistic), most telling first, ties by the word."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
@@ -46,29 +60,32 @@ def choose(bags: list[dict[str, int]], toxic: np.ndarray, features: int = FEATUR
     return [w for _, w in sorted(good)[:features]]
 
 
-def train(rows: list[tuple[int, str, int]], rounds: int = 300, ridge: float = 1e-3) -> tuple[dict[str, float], np.ndarray]:
-    """(weight per word, ordered thresholds), by gradient descent with momentum on the mean log-likelihood."""
-    bags = []
+def train(rows: list[tuple[int, str, int]], rounds: int = 400, ridge: float = 1e-3) -> tuple[dict[str, tuple[float, float]], np.ndarray]:
+    """(weights of count and density per feature, ordered thresholds), by gradient descent with momentum on the mean log-likelihood."""
+    bags, lengths = [], []
     for _, text, _ in rows:
         bag: dict[str, int] = {}
-        for w in map(normal, text.split()):
-            if w:
+        length = 0
+        for found in map(features, text.split()):
+            length += bool(found)
+            for w in found:
                 bag[w] = bag.get(w, 0) + 1
-        bags.append(bag)
+        bags.append(bag), lengths.append(length)
     toxic = np.array([y > 0 for _, _, y in rows], bool)
     words = choose(bags, toxic)
     x = np.array([[bag.get(w, 0) for w in words] for bag in bags], np.float64).reshape(len(rows), len(words))
-    hits = x.sum(axis=1)
+    hits = x[:, [k for k, w in enumerate(words) if w[0] != "^"]].sum(axis=1)
     grade = np.where(toxic, np.select([hits <= 1, hits <= 3], [1, 2], GRADES - 1), 0)
-    x = np.log1p(x)
-    w, base, gaps = np.zeros(len(words)), 2.0, np.zeros(GRADES - 2)
+    x = values(x, np.array(lengths)[:, None]) if rows else x
+    size = x.shape[1]
+    w, base, gaps = np.zeros(size), 2.0, np.zeros(GRADES - 2)
     if not words or not toxic.any():
         return {}, base + np.arange(GRADES - 1.0)
     params, speed = np.concatenate([w, [base], gaps]), 0.0
     more = (grade[:, None] > np.arange(GRADES - 1)).astype(np.float64)
     scale = np.zeros_like(params)
     for r in range(rounds):
-        w, theta = params[: len(words)], params[len(words)] + np.concatenate([[0.0], np.cumsum(np.exp(params[len(words) + 1 :]))])
+        w, theta = params[: size], params[size] + np.concatenate([[0.0], np.cumsum(np.exp(params[size + 1 :]))])
         eta = (x @ w)[:, None] - theta
         s = 1 / (1 + np.exp(-np.clip(eta, -40, 40)))
         # P(grade = k) = s[k - 1] - s[k]
@@ -78,29 +95,37 @@ def train(rows: list[tuple[int, str, int]], rounds: int = 300, ridge: float = 1e
         sign = (grade[:, None] == np.arange(1, GRADES)).astype(float) - (grade[:, None] == np.arange(GRADES - 1))
         d_eta = slope * sign / p[:, None]
         g_theta = -d_eta.mean(axis=0)
-        g_gap = np.array([g_theta[k + 1 :].sum() * np.exp(params[len(words) + 1 + k]) for k in range(GRADES - 2)])
+        g_gap = np.array([g_theta[k + 1 :].sum() * np.exp(params[size + 1 + k]) for k in range(GRADES - 2)])
         g = np.concatenate([x.T @ d_eta.sum(axis=1) / len(rows) - ridge * w, [g_theta.sum()], g_gap])
         speed = 0.9 * speed + 0.1 * g
         scale = 0.99 * scale + 0.01 * g * g
         params = params + 0.05 * (speed / (1 - 0.9 ** (r + 1))) / (np.sqrt(scale / (1 - 0.99 ** (r + 1))) + 1e-8)
-    theta = params[len(words)] + np.concatenate([[0.0], np.cumsum(np.exp(params[len(words) + 1 :]))])
-    return dict(zip(words, params[: len(words)].tolist())), theta
+    theta = params[size] + np.concatenate([[0.0], np.cumsum(np.exp(params[size + 1 :]))])
+    half = len(words)
+    return {w: (float(params[k]), float(params[half + k])) for k, w in enumerate(words)}, theta
 
 
-def score(docs: DataFrame, weights: dict[str, float], theta: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: dict[str, tuple[float, float]], theta: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_severity, p_toxic, grade) of every row of docs; null and blank texts have no features."""
     names = sorted(weights)
-    index, w = {x: k for k, x in enumerate(names)}, np.array([weights[x] for x in names])
+    index, w = {x: k for k, x in enumerate(names)}, np.array([weights[x][0] for x in names] + [weights[x][1] for x in names])
 
     def make():
         def words(new: list[str]) -> np.ndarray:
-            return np.array([index.get(normal(x), -1) for x in new], np.int32)
-
-        def count(at: np.ndarray) -> np.ndarray:
-            return np.bincount(at[at >= 0], minlength=len(names))
+            out = np.full((len(new), 2 + len(PREFIXES)), -1, np.int32)
+            for row, word in zip(out, new):
+                found = features(word)
+                row[-1] = bool(found)
+                for k, x in enumerate(found):
+                    row[k] = index.get(x, -1)
+            return out
+
+        def count(at: np.ndarray, _) -> np.ndarray:
+            hit = at[:, :-1]
+            return np.append(np.bincount(hit[hit >= 0], minlength=len(names)), at[:, -1].sum())
 
         def finish(n):
-            eta = (float(np.log1p(n) @ w) if n is not None else 0.0) - theta
+            eta = (float(values(n[:-1].astype(float), n[-1]) @ w) if n is not None else 0.0) - theta
             p = 1 / (1 + np.exp(-np.clip(eta, -40, 40)))
             return float(p.sum()), float(p[0]), int((p >= 0.5).sum())
 

@@ -206,7 +206,7 @@ def test_severity_is_ordered():
     good, bad = "fine day out", "you idiot"
     data = [(k, good, 0) for k in range(60)] + [(k, " ".join([bad] * (1 + k % 5)), 1) for k in range(60)]
     weights, theta = toxicity.train(data)
-    assert weights["idiot"] > 0 and (np.diff(theta) > 0).all()
+    assert sum(weights["idiot"]) > 0 and (np.diff(theta) > 0).all()
 
 
 def test_html():
