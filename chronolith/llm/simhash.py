@@ -11,6 +11,7 @@ as all its pairs would.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -18,23 +19,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from chronolith.llm.common import connected_components, map_rows, materialize
 
 _KEPT = [sum(0xFF << (8 * p) for p in kept) for kept in combinations(range(8), 6)]
 _SEED = 42
+#: Bits that texts of similarity 0.8 may differ in (9.7 on average, standard deviation 2.9), and the shingles from which that holds.
+WIDE, FEW = 22, 64
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The SimHash of one text; none or no words: 0."""
+def hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the stretches of width words of one text; fewer words than that make one stretch, none make none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
-    if not words:
-        return 0
     if len(words) < width:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(words), _SEED)], np.uint64)
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(_SEED)), np.uint64, len(words) - width + 1)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), _SEED)] if words else [], np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(_SEED)), np.uint64, len(words) - width + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that most of h have set; of no hashes: 0."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         bits = np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -42,6 +47,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The SimHash of one text; none or no words: 0."""
+    return majority(hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp long) per row of docs; whole texts, null text as empty, repeated rows and null ids kept."""
 
@@ -124,3 +134,116 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     member = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def signed(docs: DataFrame, similarity: float, width: int, text_col: str = "text") -> DataFrame:
+    """docs with _class (of its set of shingles), _n (their number), _fp (their SimHash) and _prefix.
+
+    _prefix holds the least hashes of the set, so many that two sets of Jaccard similarity similarity have one of
+    them in common.
+    """
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = []
+            for x in batch.column(batch.schema.get_field_index(text_col)):
+                h = np.unique(hashes(x.as_py(), width))
+                prefix = h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                found.append((xxhash.xxh64_intdigest(h.tobytes(), _SEED), len(h), majority(h), prefix.tobytes()))
+            cls, n, fp, prefix = zip(*found)
+            made = [pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(prefix, pa.binary())]
+            return pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_class", "_n", "_fp", "_prefix"])
+
+        return one
+
+    schema = StructType([*docs.schema.fields, StructField("_class", LongType()), StructField("_n", IntegerType()), StructField("_fp", LongType()), StructField("_prefix", BinaryType())])
+    return map_rows(docs, make, schema)
+
+
+def meetings(size: np.ndarray, cls: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.ndarray, similarity: float, bits: int) -> np.ndarray:
+    """(lesser, greater) classes that may be similar, of lists of these sizes, one after the other.
+
+    n: shingles of a class, at: place of the list's shingle among them. What the sizes and places rule out goes, and
+    of classes of at least FEW shingles what the SimHash does.
+    """
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(cls))  # members of the list from here on
+    out, apart, start = [], 1, np.arange(len(cls))
+    while True:
+        start = start[left[start] > apart]
+        if not len(start):
+            break
+        i, j = start, start + apart
+        least = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
+        keep = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= least
+        i, j = i[keep], j[keep]
+        near = (np.minimum(n[i], n[j]) < FEW) | (np.bitwise_count(fp[i] ^ fp[j]) <= bits)
+        out.append(np.stack([np.minimum(cls[i], cls[j])[near], np.maximum(cls[i], cls[j])[near]], axis=1))
+        apart += 1
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def similar(rows: DataFrame, similarity: float, width: int, bits: int, text_col: str = "text") -> DataFrame:
+    """(src, dst): the pairs of classes of rows, a table of signed(), whose sets of shingles are similar."""
+    classes = rows.where("_n > 0").select("_class", "_n", "_fp", "_prefix").dropDuplicates(["_class"])
+
+    def post():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            prefix = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            size = [len(x) for x in prefix]
+            own = [np.repeat(batch.column(k).to_numpy(), size) for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in size])), *map(pa.array, own)], ["h", "at", "cls", "n", "fp"])
+
+        return one
+
+    posted = map_rows(classes, post, "h long, at int, cls long, n int, fp long")
+    lists = posted.groupBy("h").agg(F.collect_list(F.struct("cls", "n", "at", "fp")).alias("m")).where(F.size("m") > 1).select("m")
+
+    def meet():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            size, m = np.diff(batch.column(0).offsets.to_numpy()), batch.column(0).flatten()
+            cls, n, at, fp = (m.field(k).to_numpy() for k in range(4))
+            pairs = meetings(size, cls, n.astype(np.int64), at.astype(np.int64), fp.view(np.uint64), similarity, bits)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
+
+        return one
+
+    met = materialize(map_rows(lists, meet, "src long, dst long").distinct(), "near")
+    nodes = met.select(F.col("src").alias("_class")).union(met.select(F.col("dst").alias("_class"))).distinct()
+
+    def spell():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique(hashes(x.as_py(), width)).tobytes() for x in batch.column(1)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "held"])
+
+        return one
+
+    texts = rows.select("_class", text_col).join(nodes, "_class", "left_semi").dropDuplicates(["_class"])
+    sets = materialize(map_rows(texts, spell, "cls long, held binary"), "sets")
+    side = lambda k: sets.select(F.col("cls").alias(k), F.col("held").alias(f"_{k}"))
+
+    def check():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
+            return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        return one
+
+    return map_rows(met.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", "_src", "_dst"), check, "src long, dst long")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = WIDE, text_col: str = "text") -> DataFrame:
+    """docs with _group: the same for rows that links of similar texts connect.
+
+    Texts are lower-cased (A-Z), split at ASCII white space and cut in word shingles; a link needs a Jaccard
+    similarity of their sets of at least similarity, computed on the sets themselves. Candidates share one of the
+    least shingles, which every similar pair does, and differ in at most bits bits of their SimHash. Null and blank
+    texts are alike; an empty table gives no rows.
+    """
+    rows = materialize(signed(docs, similarity, width, text_col), "signed")
+    found = connected_components(similar(rows, similarity, width, bits, text_col))
+    named = rows.join(found, rows["_class"] == found["node"], "left")
+    return named.select(*[rows[c] for c in docs.columns], F.coalesce("component", "_class").alias("_group"))

@@ -25,11 +25,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Rows without id stay."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(first, docs["doc_id"] == first["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
+    """One document of each group of near copies: the one with the smallest doc_id. Rows without id stay.
+
+    Near copies have a Jaccard similarity of at least 0.8 in stretches of five words to another of their group.
+    """
+    groups = materialize(simhash.near_copies(docs), "groups")
+    first = groups.groupBy("_group").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
+    named = groups.join(first, groups["doc_id"] == first["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return named.union(groups.where("doc_id is null")).drop("_group")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

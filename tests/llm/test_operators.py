@@ -323,3 +323,20 @@ def test_stages(spark, odd, none):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, D).count() > 0
+
+
+def test_stage_drops_near_copies_of_similarity(spark):
+    rng = random.Random(3)
+    docs = {}
+    for k in range(60):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice((12, 60, 300)))]
+        docs[2 * k] = list(words)
+        for _ in range(rng.randrange(1, max(2, len(words) // 20))):
+            words[rng.randrange(len(words))] = "other"
+        docs[2 * k + 1] = words
+    cut = {k: {tuple(x[i : i + 5]) for i in range(len(x) - 4)} for k, x in docs.items()}
+    near = {k for k in range(0, 120, 2) if len(cut[k] & cut[k + 1]) >= 0.8 * len(cut[k] | cut[k + 1])}
+    assert 15 < len(near) < 55
+    table = spark.createDataFrame([(k, " ".join(v), "en", "a", 1) for k, v in docs.items()], DOCS)
+    got = {r["doc_id"] for r in rows(corpus_pipeline.drop_near_copies(spark, table, D))}
+    assert got == set(docs) - {k + 1 for k in near}
