@@ -340,3 +340,18 @@ def test_stage_drops_near_copies_of_similarity(spark):
     table = spark.createDataFrame([(k, " ".join(v), "en", "a", 1) for k, v in docs.items()], DOCS)
     got = {r["doc_id"] for r in rows(corpus_pipeline.drop_near_copies(spark, table, D))}
     assert got == set(docs) - {k + 1 for k in near}
+
+
+def cut_words(x):
+    return passages.shingles(" ".join(x)).astype(np.uint32)
+
+
+def test_passages_with_repeats_verify():
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    phrase, line = text(5), text(12)
+    twice = text(15) + phrase + text(20) + phrase + text(15)
+    early = text(60)
+    for own, other in ((twice, twice), (line * 8, line * 8), (early, early[20:26] + text(3) + early)):
+        got = passages.verify(cut_words(text(30) + own + text(30)), cut_words(text(50) + other + text(9)), 46, 0.8, 5)
+        assert len(got) == 1 and got[0][0] <= 32 and got[0][1] >= 28 + len(own) - 5 and got[0][4] >= 0.8
