@@ -355,3 +355,14 @@ def test_passages_with_repeats_verify():
     for own, other in ((twice, twice), (line * 8, line * 8), (early, early[20:26] + text(3) + early)):
         got = passages.verify(cut_words(text(30) + own + text(30)), cut_words(text(50) + other + text(9)), 46, 0.8, 5)
         assert len(got) == 1 and got[0][0] <= 32 and got[0][1] >= 28 + len(own) - 5 and got[0][4] >= 0.8
+
+
+def test_passages_beside_a_shorter_holder(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, own = {}, {}
+    for k in range(60):
+        own[k] = text(60)
+        docs |= {10 * k: text(120) + own[k] + text(20), 10 * k + 1: text(10) + own[k] + text(200), 10 * k + 2: own[k][:40] + text(30)}
+    got = rows(passages.near_duplicates(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")))
+    assert {(r["doc_id"], r["rep_id"]) for r in got if r["n_words"] >= 60} == {(10 * k + 1, 10 * k) for k in own}
