@@ -366,3 +366,14 @@ def test_passages_beside_a_shorter_holder(spark):
         docs |= {10 * k: text(120) + own[k] + text(20), 10 * k + 1: text(10) + own[k] + text(200), 10 * k + 2: own[k][:40] + text(30)}
     got = rows(passages.near_duplicates(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")))
     assert {(r["doc_id"], r["rep_id"]) for r in got if r["n_words"] >= 60} == {(10 * k + 1, 10 * k) for k in own}
+
+
+def test_short_passages_at_the_similarity(spark):
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs = {}
+    for k in range(400):
+        own = text(52)
+        docs |= {2 * k: text(60) + own + text(40), 2 * k + 1: text(20) + own[:26] + text(1) + own[27:] + text(100)}
+    got = rows(passages.near_duplicates(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")))
+    assert len({r["doc_id"] // 2 for r in got if r["doc_id"] // 2 == r["rep_id"] // 2}) >= 398
