@@ -377,3 +377,14 @@ def test_short_passages_at_the_similarity(spark):
         docs |= {2 * k: text(60) + own + text(40), 2 * k + 1: text(20) + own[:26] + text(1) + own[27:] + text(100)}
     got = rows(passages.near_duplicates(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")))
     assert len({r["doc_id"] // 2 for r in got if r["doc_id"] // 2 == r["rep_id"] // 2}) >= 398
+
+
+def test_secrets_run_to_their_end(spark):
+    rng = random.Random(8)
+    body = lambda n: "".join(rng.choice("ABCDEFabcdef0123456789") for _ in range(n))
+    jwt = f"eyJ{body(120)}.{body(260)}.{body(82)}"
+    block = "-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128-CBC\n" + "\n".join(body(64) for _ in range(200)) + "\n-----END RSA PRIVATE KEY-----"
+    long = body(700)
+    texts = {1: f'token = "{jwt}"', 2: f'private_key = "{block}"', 3: f"see {long} here", 4: f"password={long}x"}
+    got = rows(secrets.candidates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {(r["doc_id"], r["secret"]) for r in got} == {(1, jwt), (2, block), (3, long), (4, long + "x")}
