@@ -43,10 +43,9 @@ def sizes(leaves: DataFrame, keys: list[str], index: str, declared: DataFrame |
 
 def nodes(leaves: DataFrame) -> DataFrame:
     """leaves (path, time_idx, shape) by schema path: rows, time coverage, greatest shape, whether it varies in time."""
-    p = paths.strip_indices(F.col("path"))
-    return leaves.groupBy(p.alias("schema_path")).agg(
-        F.count("*").alias("n_rows"), (F.max("time_idx") + 1).alias("coverage"), F.max("size").alias("max_size"),
-        (F.coalesce(F.max("time_idx"), F.lit(0)) > 0).alias("dynamic"),
+    per = leaves.groupBy("path").agg(F.count("*").alias("n"), F.max("time_idx").alias("last"), F.max("size").alias("size"))
+    return per.groupBy(paths.strip_indices(F.col("path")).alias("schema_path")).agg(
+        F.sum("n").alias("n_rows"), (F.max("last") + 1).alias("coverage"), F.max("size").alias("max_size"), F.max("last").isNotNull().alias("dynamic"),
     )
 
 
@@ -55,7 +54,7 @@ def occurrences(leaves: DataFrame) -> DataFrame:
 
 
 def filled_paths(leaves: DataFrame) -> DataFrame:
-    return leaves.where("size > 0").select(paths.strip_indices(F.col("path")).alias("schema_path")).distinct()
+    return leaves.where("size > 0").select("path").distinct().select(paths.strip_indices(F.col("path")).alias("schema_path")).distinct()
 
 
 def last_write(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -9,9 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronolith.functions import convert
+from chronolith.operators import bases, timeops
+
 SCHEMA = "path string, time_idx int, t double, value double, tree string, occurrence int"
 FORMAT_VERSION = "1.0"
 
@@ -75,6 +78,38 @@ def erase(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.create(p, True).close()
+
+
+class VersionMismatch(StoreError):
+    pass
+
+
+def version_of(spark: SparkSession, path: str) -> str | None:
+    """The version of the store at path; null where there is none, or nothing says."""
+    mark = f"{path.rstrip('/')}/_version"
+    return spark.read.text(mark).first()["value"] if exists(spark, mark) else None
+
+
+def on_steps(own: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (path, t, value) with time_idx on the base of own, the tree's rows: a time that it has keeps its step, new
+    times follow its last in order; a signal that skipped steps has gaps, one that is new begins where its times lie.
+
+    The new times of one append are few and put in order in one task.
+    """
+    known = own.where("t is not null").groupBy("t").agg(F.min("time_idx").alias("_known"))
+    last = own.agg((F.coalesce(F.max("time_idx"), F.lit(-1)) + 1).alias("_next"))  # one row
+    asked = rows.select("t").distinct().join(known, "t", "left")
+    new = asked.where("_known is null").withColumn("_k", F.row_number().over(Window.orderBy("t")) - 1)
+    placed = new.join(F.broadcast(last)).select("t", (F.col("_k") + F.col("_next")).cast("int").alias("time_idx"))
+    steps = placed.union(asked.where("_known is not null").select("t", F.col("_known").cast("int")))
+    return rows.select("path", "t", "value").join(steps, "t").select("path", "time_idx", "t", "value")
+
+
 class Entry:
     """mode: open (must be there), force_open (made if absent), create (must be absent), force_create (erased first)."""
 
@@ -89,6 +124,29 @@ class Entry:
         if mode == "force_create" and there:
             erase(spark, path)
         self.spark, self.path = spark, path.rstrip("/")
+        self._recover()
+
+    def _recover(self) -> None:
+        """Ends a replacement that was broken off: the old folder goes if the new one is there, and comes back if not."""
+        fs, root = _fs(self.spark, self.path)
+        aside = root.suffix("-old")
+        if fs.exists(aside):
+            for tree in fs.listStatus(aside):
+                for old in fs.listStatus(tree.getPath()):
+                    place = f"{self.path}/{tree.getPath().getName()}/{old.getPath().getName()}"
+                    if not exists(self.spark, place):
+                        at = _fs(self.spark, place)[1]
+                        fs.mkdirs(at.getParent())
+                        fs.rename(old.getPath(), at)
+            fs.delete(aside, True)
+
+    def check_version(self) -> None:
+        """A store of another minor version isn't written."""
+        found = version_of(self.spark, self.path)
+        if found is None:
+            self.spark.createDataFrame([(FORMAT_VERSION,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_version")
+        elif not convert.same_minor(found, FORMAT_VERSION):
+            raise VersionMismatch(f"the store has version {found}, this is {FORMAT_VERSION}")
 
     def leaves(self) -> DataFrame:
         """All rows; an entry without any has none. Also the null source: no data of the right schema."""
@@ -102,6 +160,7 @@ class Entry:
     def _write(self, rows: DataFrame, mode: str) -> None:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kept = rows.where("value is not null").select(*names)  # empty values aren't written
+        self.check_version()
         kept.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tree", "occurrence").parquet(self.path)
 
     def put(self, rows: DataFrame, tree: str, occurrence: int = 0) -> None:
@@ -112,20 +171,51 @@ class Entry:
         """Appends steps (path, t, value), or puts them where the tree is new; rows without a time are refused."""
         if rows.where("t is null").take(1):
             raise BadWrite("static data can't be appended")
-        self._write(self.aligned(rows, tree, occurrence).withColumn("tree", F.lit(tree)).withColumn("occurrence", F.lit(occurrence)), "append")
+        new = on_steps(self.get(tree, occurrence), rows)
+        self._write(new.withColumn("tree", F.lit(tree)).withColumn("occurrence", F.lit(occurrence)), "append")
 
-    def aligned(self, rows: DataFrame, tree: str, occurrence: int = 0) -> DataFrame:
-        """rows with time_idx on the tree's own base: steps that a signal skipped stay gaps.
+    def put_node(self, rows: DataFrame, tree: str, path: str, role: str, occurrence: int = 0, t: float | None = None) -> None:
+        """Writes one node by its role in time. rows: one row with value.
 
-        All paths of one time share an index, which follows the greatest that the tree has; a new time gets the
-        next. The times of one append are few, so their order is settled in one task.
+        bulk: value is an array whose last dimension is time, and becomes a row per step; slice: one step of a dynamic
+        array, at t; static: one row without a step.
         """
-        from pyspark.sql import Window
-
-        last = self.get(tree, occurrence).agg((F.coalesce(F.max("time_idx"), F.lit(-1)) + 1).alias("next"))
-        times = rows.select("t").distinct().withColumn("k", F.row_number().over(Window.orderBy("t")) - 1)
-        placed = times.join(F.broadcast(last)).select("t", (F.col("k") + F.col("next")).cast("int").alias("time_idx"))
-        return rows.drop("time_idx").join(placed, "t")
+        if role == "bulk":
+            new = rows.select(F.posexplode("value").alias("time_idx", "value")).select(F.lit(path).alias("path"), F.col("time_idx").cast("int"), F.lit(None).cast("double").alias("t"), F.col("value").cast("double"))
+        elif role == "slice":
+            self.put_slice(rows.select(F.lit(path).alias("path"), F.lit(float(t)).alias("t"), F.col("value").cast("double").alias("value")), tree, occurrence)
+            return
+        elif role == "static":
+            new = rows.select(F.lit(path).alias("path"), F.lit(None).cast("int").alias("time_idx"), F.lit(None).cast("double").alias("t"), F.col("value").cast("double"))
+        else:
+            raise BadWrite(f"no role {role!r}")
+        self._write(new.withColumn("tree", F.lit(tree)).withColumn("occurrence", F.lit(occurrence)), "append")
+
+    def get_slice(self, tree: str, t: float, mode: str, occurrence: int = 0, kind: str = "double", homogeneous: bool = False) -> DataFrame:
+        """(path, t, value, rank) of every path at one time, see bases.get_slice()."""
+        if mode not in timeops.MODES:
+            raise StoreError(f"a slice needs one of the modes {timeops.MODES}")
+        return bases.get_slice(self.get(tree, occurrence), t, mode, kind, homogeneous)
+
+    def get_range(self, tree: str, tmin: float, tmax: float, occurrence: int = 0) -> DataFrame:
+        """The rows of a range of times; static ones stay. Rows with their own time are pruned in the scan."""
+        if tmin > tmax:
+            raise StoreError("tmin is after tmax")
+        rows = self.get(tree, occurrence)
+        based = bases.with_times(rows.where(F.col("time_idx").isNull() | F.col("t").isNull())).where(F.col("t").between(tmin, tmax))
+        own = rows.where(F.col("t").between(tmin, tmax) & ~bases.is_base(F.col("path")))
+        names = ["path", "time_idx", "t", "value"]
+        return own.select(*names).unionByName(based.select(*names)).unionByName(rows.where("time_idx is null").select(*names))
+
+    def get_sample(self, tree: str, mode: str, tmin: float | None = None, tmax: float | None = None, dt: float | None = None, times: list[float] | None = None, occurrence: int = 0, kind: str = "double", homogeneous: bool = False) -> DataFrame:
+        """Every path at chosen times, or on the grid from tmin to tmax by dt."""
+        if mode not in timeops.MODES:
+            raise StoreError(f"samples need one of the modes {timeops.MODES}")
+        if times is None:
+            if tmin is None or tmax is None or not dt or tmin > tmax:
+                raise StoreError("samples need times, or tmin <= tmax and dt")
+            times = timeops.step_grid(tmin, tmax, dt)
+        return bases.get_sample(self.get(tree, occurrence), times, mode, kind, homogeneous)
 
     def replace_last(self, rows: DataFrame, tree: str, occurrence: int = 0) -> None:
         """The tree's last step becomes rows (path, value)."""
@@ -144,14 +234,21 @@ class Entry:
         self._rewrite(self.get(tree, occurrence).where(~inside).select("path", "time_idx", "t", "value"), tree, occurrence)
 
     def _rewrite(self, rows: DataFrame, tree: str, occurrence: int) -> None:
-        """Through a table beside the entry: a folder can't be read and replaced at once."""
+        """Writes the new folder beside the entry, then puts it in the old one's place by renaming: at any time one of
+        both is whole, and _recover() ends what was broken off."""
+        part = f"tree={tree}/occurrence={occurrence}"
         aside = f"{self.path}-new"
-        rows.write.mode("overwrite").parquet(aside)
-        new = self.spark.read.schema(rows.schema).parquet(aside)
-        if new.take(1):
-            self.put(new, tree, occurrence)
-        else:
-            self.delete(tree, "", occurrence)
+        names = ["path", "time_idx", "t", "value"]
+        rows.where("value is not null").select(*names, F.lit(tree).alias("tree"), F.lit(occurrence).alias("occurrence")).write.mode("overwrite").partitionBy("tree", "occurrence").parquet(aside)
+        fs, old = _fs(self.spark, f"{self.path}/{part}")
+        backup, new = _fs(self.spark, f"{self.path}-old/{part}")[1], _fs(self.spark, f"{aside}/{part}")[1]
+        if fs.exists(old):
+            fs.mkdirs(backup.getParent())
+            fs.rename(old, backup)
+        if fs.exists(new):
+            fs.mkdirs(old.getParent())
+            fs.rename(new, old)
+        erase(self.spark, f"{self.path}-old")
         erase(self.spark, aside)
 
 

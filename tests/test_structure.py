@@ -74,11 +74,11 @@ def test_path_functions(spark):
 
 
 def test_plugins(spark):
-    df, p = spark.createDataFrame([("a/b", 1.0), ("c", 2.0)], "path string, value double"), Plugins()
+    df, p = spark.createDataFrame([("a/b", 1.0), ("c", 2.0)], "path string, value double"), Plugins(enabled=True)
     p.register("double", lambda rows, given: rows.withColumn("value", F.col("value") * given.get("by", 2)))
     p.bind("a/*", "double")
     assert p.read(df, "a/b").first()["value"] == 2.0 and p.read(df, "c").first()["value"] == 2.0
-    assert p.provenance(df).count() == 1
+    assert p.provenance(spark).count() == 1
     for wrong in (lambda: p.register("double", None), lambda: p.bind("x", "none"), lambda: p.bind("a/*", "double"), lambda: p.unbind("c", "double"), lambda: p.unregister("none")):
         with pytest.raises(PluginError):
             wrong()
@@ -137,10 +137,12 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_stream_windows(spark, tmp_path):
-    src = str(tmp_path / "in")
-    spark.sql("select timestamp'2024-01-01 01:00:00' ts, 'a' k, 1.0D value union all select timestamp'2024-01-01 02:00:00', 'a', 2.0D").write.parquet(src)
-    stream = spark.readStream.schema("ts timestamp, k string, value double").parquet(src)
-    q = append.latest_values(stream, ["k"]).writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    r = spark.table("latest").first()
-    assert (r["last_value"], r["n_values"]) == (2.0, 2)
+    """Append mode: a window comes out when the watermark passes it, and what is later than that is dropped."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[("2024-01-01 01:00:00", 1.0), ("2024-01-01 02:00:00", 2.0)], [("2024-01-03 12:00:00", 4.0)], [("2024-01-01 03:00:00", 99.0), ("2024-01-05 12:00:00", 5.0)], [("2024-01-09 00:00:00", 6.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "ts string, value double").selectExpr("timestamp(ts) as ts", "'a' as k", "value").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("ts timestamp, k string, value double").parquet(src)
+        append.latest_values(stream, ["k"]).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((str(r["window_start"])[:10], r["last_value"], r["n_values"]) for r in spark.read.parquet(out).collect())
+    assert got == [("2024-01-01", 2.0, 2), ("2024-01-03", 4.0, 1), ("2024-01-05", 5.0, 1)]
