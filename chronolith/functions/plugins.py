@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,15 @@ class Plugins:
         for n in self.of(path):
             self.known[n].end(action, path)
 
+    @contextmanager
+    def action(self, kind: str, path: str):
+        """A global, slice or range action on a path, with what its plugins do before and after, also when it fails."""
+        self.begin(kind, path)
+        try:
+            yield self
+        finally:
+            self.end(kind, path)
+
     def begin_array(self, path: str, rows: DataFrame) -> DataFrame:
         """The elements of an array as its plugin makes them, or rows; two plugins can't both make them."""
         made = [(n, x) for n in self.of(path) if (x := self.known[n].begin_array(path, rows)) is not None]

@@ -75,6 +75,15 @@ def on_base(base: DataFrame, signals: DataFrame, samples: DataFrame, element: li
     return base.join(signals, element).join(samples.select(*element, *signal, "t", "v"), [*element, *signal, "t"], "left")
 
 
+#: Steps of bases that go to every task, as a cache would hold them.
+CACHED_STEPS = 1_000_000
+
+
+def on_cached_base(rows: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with base on keys: without a shuffle of rows where base is known to be small."""
+    return rows.join(F.broadcast(base) if base.count() <= CACHED_STEPS else base, keys)
+
+
 def shape_conflicts(leaves: DataFrame) -> DataFrame:
     """(path, n_shapes) of the signals whose steps haven't all one shape, which can't be read as one tensor."""
     return leaves.groupBy("path").agg(F.count_distinct("shape").alias("n_shapes")).where("n_shapes > 1")

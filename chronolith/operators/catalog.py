@@ -142,3 +142,8 @@ def to_leaves(table: DataFrame, keys: list[str], fields: list[str], root: str) -
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("value")) for f in fields])).alias("x")
     path = F.concat_ws("/", F.lit(root), *[F.col(k).cast("string") for k in keys], F.col("x.f"))
     return table.select(*keys, each).where("x.value is not null").select(path.alias("path"), F.col("x.value").alias("value"))
+
+
+def with_metadata(leaves: DataFrame, metadata: DataFrame) -> DataFrame:
+    """leaves with the columns of metadata (schema_path, ...); null where a path has none."""
+    return leaves.withColumn("schema_path", paths.strip_indices(F.col("path"))).join(metadata, "schema_path", "left")

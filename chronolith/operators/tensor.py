@@ -42,6 +42,25 @@ def at(data: Column, shape: list[int], axis: int, index: int) -> tuple[Column, l
     return hyperslab(data, shape, starts, counts), [d for k, d in enumerate(shape) if k != axis]
 
 
+ALL = ("all",)
+
+
+def view(data: Column, shape: list[int], cuts: list[tuple]) -> tuple[Column, list[int]]:
+    """A part of a tensor, one cut per dimension: ("at", i) drops it, ("from", a), ("to", b), ("between", a, b) and ALL
+    keep it. Ends are left out; what lies outside raises IndexError."""
+    if len(cuts) != len(shape):
+        raise IndexError(f"{len(cuts)} cuts for {len(shape)} dimensions")
+    starts, counts, kept = [], [], []
+    for (kind, *given), d in zip(cuts, shape):
+        a, b = {"at": lambda i: (i, i + 1), "from": lambda i: (i, d), "to": lambda i: (0, i), "between": lambda i, j: (i, j), "all": lambda: (0, d)}[kind](*given)
+        if not 0 <= a <= b <= d:
+            raise IndexError(f"{a}..{b} is outside 0..{d}")
+        starts.append(a), counts.append(b - a)
+        if kind != "at":
+            kept.append(b - a)
+    return hyperslab(data, shape, starts, counts), kept
+
+
 def time_last(data: Column, shape: list[int]) -> Column:
     """From time first to time last."""
     steps, rest = shape[0], prod(shape[1:])

@@ -89,27 +89,55 @@ def get_slice(samples: DataFrame, requests: DataFrame, keys: list[str], mode: st
     return resolve(bracket(samples, requests, keys, **how), mode, kind)
 
 
-def get_slice_gaps(base: DataFrame, samples: DataFrame, requests: DataFrame, element: list[str], signal: list[str]) -> DataFrame:
+def _neighbours(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, _b, <column>_end, <column>_start): what is not null and nearest in the buckets before and after each."""
+    there = F.when(F.col(column).isNotNull(), F.col("t"))
+    edge = rows.groupBy(*keys, "_b").agg(F.max_by(column, there).alias("e"), F.min_by(column, there).alias("s"))
+    line = Window.partitionBy(*keys).orderBy("_b")
+    before = F.last("e", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("s", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
+    return edge.select(*keys, "_b", before.alias(f"{column}_end"), after.alias(f"{column}_start"))
+
+
+def get_slice_gaps(base: DataFrame, samples: DataFrame, requests: DataFrame, element: list[str], signal: list[str], bucket: float | None = None) -> DataFrame:
     """Closest with gaps: the time base (element, t) settles the step, then the signal's nearest sample fills it.
 
     requests have element, signal and t. A step that the signal has is taken; else the nearer in time to the request
-    of its neighbours, a tie going to the earlier one; for requests before 1970 the nearer in steps.
+    of its neighbours, a tie going to the earlier one; for requests before 1970 the nearer in steps. Samples lie on the
+    base, so no sample lies between a request and the steps beside it, and one pass finds both kinds of neighbours.
     """
-    steps = base.select(*element, "t").distinct()
-    place = F.row_number().over(Window.partitionBy(*element).orderBy("t"))
-    steps = steps.withColumn("_k", place)
-    at = get_slice(steps.withColumn("v", F.struct("t", "_k")), requests.select(*element, "t").distinct(), element, "closest", "array")
-    asked = requests.join(at, [*element, "t"]).select(*element, *signal, F.col("t").alias("_asked"), F.col("v.t").alias("t"), F.col("v._k").alias("_k"))
-    placed = samples.where("v is not null").join(steps, [*element, "t"]).withColumn("v", F.struct(F.col("v").alias("x"), F.col("_k").alias("k")))
-    found = bracket(placed, asked.select(*element, *signal, "t").distinct(), [*element, *signal])
-    lo, hi, t = F.col("lo"), F.col("hi"), F.col("_asked")
-    in_time = F.abs(hi["t"] - t) < F.abs(t - lo["t"])
-    in_steps = hi["v"]["k"] - F.col("_k") < F.col("_k") - lo["v"]["k"]
-    v = (
-        F.when(lo.isNull(), hi["v"]["x"]).when(hi.isNull() | (lo["t"] == F.col("t")), lo["v"]["x"])
-        .when(F.when(t < 0, in_steps).otherwise(in_time), hi["v"]["x"]).otherwise(lo["v"]["x"])
-    )
-    return asked.join(found, [*element, *signal, "t"], "left").withColumn("v", v).select(*element, *signal, t.alias("t"), "v")
+    nothing = F.lit(None).cast(samples.schema["v"].dataType)
+    lacking = [F.lit(None).cast(samples.schema[c].dataType).alias(c) for c in signal]
+    steps = base.select(*element, "t").distinct().select(*element, *lacking, "t", F.lit(0).alias("_kind"), nothing.alias("v"))
+    rows = steps.unionByName(samples.where("v is not null").select(*element, *signal, "t", F.lit(1).alias("_kind"), "v"))
+    rows = rows.unionByName(requests.select(*element, *signal, "t", F.lit(2).alias("_kind"), nothing.alias("v"))).withColumn("_b", F.floor(F.col("t") / bucket) if bucket else F.lit(0))
+    up, down = [lambda keys, o=o: Window.partitionBy(*keys, "_b").orderBy(o, "_kind").rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("t"), F.desc("t"))]
+    rows = rows.withColumn("_k", F.sum((F.col("_kind") == 0).cast("long")).over(up(element)))
+    if bucket:
+        n = rows.groupBy(*element, "_b").agg(F.sum((F.col("_kind") == 0).cast("long")).alias("n"))
+        n = n.select(*element, "_b", (F.sum("n").over(Window.partitionBy(*element).orderBy("_b")) - F.col("n")).alias("_before"))
+        rows = rows.join(n, [*element, "_b"]).withColumn("_k", F.col("_k") + F.col("_before")).drop("_before")
+    rows = rows.withColumn("_base", F.when(F.col("_kind") == 0, F.struct("t", F.col("_k").alias("k"))))
+    rows = rows.withColumn("_s", F.when(F.col("_kind") == 1, F.struct("t", F.col("_k").alias("k"), F.col("v").alias("x"))))
+    found = rows
+    for name, keys in (("_base", element), ("_s", [*element, *signal])):
+        found = found.withColumn(f"{name}_lo", F.last(name, ignorenulls=True).over(up(keys))).withColumn(f"{name}_hi", F.last(name, ignorenulls=True).over(down(keys)))
+    found = found.where("_kind = 2").drop("_base", "_s")
+    if bucket:
+        for name, keys in (("_base", element), ("_s", [*element, *signal])):
+            found = found.join(_neighbours(rows, keys, name), [*keys, "_b"])
+            found = found.withColumn(f"{name}_lo", F.coalesce(f"{name}_lo", f"{name}_end")).withColumn(f"{name}_hi", F.coalesce(f"{name}_hi", f"{name}_start"))
+    t, blo, bhi, slo, shi = (F.col(c) for c in ("t", "_base_lo", "_base_hi", "_s_lo", "_s_hi"))
+    at = F.when(blo.isNull(), bhi).when(bhi.isNull(), blo).when(bhi["t"] - t <= t - blo["t"], bhi).otherwise(blo)
+    found = found.withColumn("_at", at)
+    step = F.col("_at")
+    # at the step itself a sample is both neighbours
+    here = F.when(slo["t"] == step["t"], slo).when(shi["t"] == step["t"], shi)
+    in_time = F.abs(shi["t"] - t) < F.abs(t - slo["t"])
+    in_steps = shi["k"] - step["k"] < step["k"] - slo["k"]
+    other = F.when(slo.isNull(), shi["x"]).when(shi.isNull(), slo["x"]).when(F.when(t < 0, in_steps).otherwise(in_time), shi["x"]).otherwise(slo["x"])
+    v = F.when(here.isNotNull(), here["x"]).otherwise(other)
+    return found.select(*element, *signal, "t", F.when(step.isNotNull(), v).alias("v"))
 
 
 def get_range(samples: DataFrame, tmin: float, tmax: float) -> DataFrame:
@@ -119,13 +147,13 @@ def get_range(samples: DataFrame, tmin: float, tmax: float) -> DataFrame:
     return samples.where(F.col("t").between(tmin, tmax))
 
 
-def get_range_filled(base: DataFrame, samples: DataFrame, element: list[str], signal: list[str], tmin: float, tmax: float, mode: str = "closest") -> DataFrame:
+def get_range_filled(base: DataFrame, samples: DataFrame, element: list[str], signal: list[str], tmin: float, tmax: float, mode: str = "closest", bucket: float | None = None) -> DataFrame:
     """Every base time in the range for every signal of the element, gaps filled by mode."""
     times = get_range(base.select(*element, "t").distinct(), tmin, tmax)
     asked = samples.select(*element, *signal).distinct().join(times, element)
     if mode == "closest":
-        return get_slice_gaps(base, samples, asked, element, signal)
-    return get_slice(samples, asked, [*element, *signal], mode)
+        return get_slice_gaps(base, samples, asked, element, signal, bucket)
+    return get_slice(samples, asked, [*element, *signal], mode, bucket=bucket)
 
 
 def resample(samples: DataFrame, keys: list[str], times: list[float], mode: str, kind: str = "double", **how) -> DataFrame:
@@ -133,13 +161,22 @@ def resample(samples: DataFrame, keys: list[str], times: list[float], mode: str,
     return get_slice(samples, with_times(samples.select(*keys).distinct(), times), keys, mode, kind, **how)
 
 
-def time_base(samples: DataFrame, element: list[str]) -> DataFrame:
-    """(element, t, time_idx): the element's distinct times in order, from 0."""
-    w = Window.partitionBy(*element).orderBy("t")
-    return samples.select(*element, "t").distinct().withColumn("time_idx", F.row_number().over(w) - 1)
+def time_base(samples: DataFrame, element: list[str], bucket: float | None = None) -> DataFrame:
+    """(element, t, time_idx): the element's distinct times in order, from 0; with bucket no task holds a whole element."""
+    times = samples.select(*element, "t").distinct()
+    if not bucket:
+        return times.withColumn("time_idx", F.row_number().over(Window.partitionBy(*element).orderBy("t")) - 1)
+    times = times.withColumn("_b", F.floor(F.col("t") / bucket))
+    n = times.groupBy(*element, "_b").agg(F.count("*").alias("n"))
+    n = n.select(*element, "_b", (F.sum("n").over(Window.partitionBy(*element).orderBy("_b")) - F.col("n")).alias("before"))
+    placed = times.withColumn("k", F.row_number().over(Window.partitionBy(*element, "_b").orderBy("t")) - 1)
+    return placed.join(n, [*element, "_b"]).select(*element, "t", (F.col("k") + F.col("before")).cast("int").alias("time_idx"))
 
 
-def whole_signal(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, times, values) in order of time; a key's samples must fit a task."""
+def whole_signal(samples: DataFrame, keys: list[str], bucket: float | None = None) -> DataFrame:
+    """(keys, times, values) in order of time. With bucket a signal comes in pages (keys, page, times, values) of so many
+    seconds, so that no task holds a whole one; without, a key's samples must fit a task."""
+    parts = [*keys, "page"] if bucket else keys
+    rows = samples.withColumn("page", F.floor(F.col("t") / bucket)) if bucket else samples
     both = F.sort_array(F.collect_list(F.struct("t", "v")))
-    return samples.groupBy(*keys).agg(both.alias("s")).select(*keys, F.col("s.t").alias("times"), F.col("s.v").alias("values"))
+    return rows.groupBy(*parts).agg(both.alias("s")).select(*parts, F.col("s.t").alias("times"), F.col("s.v").alias("values"))

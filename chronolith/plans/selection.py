@@ -107,3 +107,39 @@ def column(path: str | list[Segment], arrays: set[str], root: Column | None = No
         return _linear(here, s.time[0], rest)
     some = _select(here, s, rest)
     return F.transform(some, lambda x: column(rest, arrays, x)) if rest else some
+
+
+def condition(path: str | list[Segment], time: Column, index: Column | None = None) -> Column:
+    """What the path's first segment asks of flat rows, before they are nested, so that it reaches the scan: a range of
+    times, an index or a range of indices. Anything that needs its neighbours (one time) asks for nothing here."""
+    s = (parse(path) if isinstance(path, str) else path)[0]
+    if s.time is not None and s.time[1] is not None:
+        return time.between(*s.time)
+    if index is not None and s.index is not None:
+        return index == s.index
+    if index is not None and s.start is not None:
+        return (index >= s.start) & (F.lit(True) if s.stop is None else index < s.stop)
+    return F.lit(True)
+
+
+def dims(tensor: Column, depth: int) -> Column:
+    """The sizes of nested arrays from the outside in; of inner ones, which may differ, the greatest."""
+    if depth == 1:
+        return F.array(F.size(tensor))
+    inner = F.transform(tensor, lambda x: dims(x, depth - 1))
+    place = lambda k: lambda x: x[k]
+    top = [F.coalesce(F.array_max(F.transform(inner, place(k))), F.lit(0)) for k in range(depth - 1)]
+    return F.concat(F.array(F.size(tensor)), F.array(*top))
+
+
+def flat(tensor: Column, depth: int) -> Column:
+    """The values of nested arrays in order."""
+    for _ in range(depth - 1):
+        tensor = F.flatten(tensor)
+    return tensor
+
+
+def tensor(path: str, arrays: set[str]) -> Column:
+    """struct(dims, data) of the leaf that path names, over all arrays on the way."""
+    found, depth = column(path, arrays), sum(s.name in arrays for s in parse(path))
+    return F.struct(dims(found, depth).alias("dims"), flat(found, depth).alias("data"))

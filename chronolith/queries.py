@@ -176,14 +176,16 @@ def p4_index_range(spark, d):
     return orders(spark, d).select("l_orderkey", F.explode(selection.column("lines[1:3]/l_partkey", {"lines"})).alias("l_partkey"))
 
 
-def timed(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d).select(*KEYS, F.col("t").alias("time"), "v")
+def timed(spark: SparkSession, d: str, path: str = "steps") -> DataFrame:
+    """Signals as arrays of steps, of which only those are nested that path can select."""
+    s = samples(spark, d).select(*KEYS, F.col("t").alias("time"), "v").where(selection.condition(path, F.col("time")))
     return nested.nest(s, KEYS, "time", ["v"], "steps")
 
 
 @query(f"WITH {_S} SELECT user_id, event_type, v FROM s WHERE t BETWEEN 1704500000 AND 1705000000")
 def p5_time_selection(spark, d):
-    return timed(spark, d).select(*KEYS, F.explode(selection.column("steps[time=1704500000:1705000000]/v", {"steps"})).alias("v"))
+    path = "steps[time=1704500000:1705000000]/v"
+    return timed(spark, d, path).select(*KEYS, F.explode(selection.column(path, {"steps"})).alias("v"))
 
 
 _ONE = f"WITH {_S}, k AS (SELECT DISTINCT user_id, event_type FROM s), r AS (SELECT user_id, event_type, 1704700000::DOUBLE AS t FROM k), {_b()} SELECT user_id, event_type, {{}} AS v FROM b"
@@ -316,12 +318,6 @@ def f11_index_arithmetic(spark, d):
     return table(spark, d, "embeddings").select("vec_id", flat.cast("long").alias("flat"), i.cast("long").alias("i"), j.cast("long").alias("j"), k.cast("long").alias("k"))
 
 
-@query("SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
-def j4_metadata(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"], "left").select("n_name", "r_name")
-
-
 @query("SELECT event_id, value FROM events WHERE value >= 100")
 def k8_empty_values_dropped(spark, d):
     v = F.when(F.col("value") < 100, F.lit(values.EMPTY_DOUBLE)).otherwise(F.col("value"))

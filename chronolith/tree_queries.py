@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import convert, paths, plugins, strings, values
-from chronolith.operators import bases, catalog, nested, timeops, trees, views
-from chronolith.queries import _LINEAR, _S, _b, KEYS, leaves, orders, query, samples, table, timed
+from chronolith.operators import bases, catalog, nested, tensor, timeops, trees, views
+from chronolith.plans import selection
+from chronolith.queries import _GAPS, _LINEAR, _S, _b, KEYS, TIMES, leaves, orders, query, samples, table, timed
 from chronolith.sources import backends
 
 DAY0, DAY, AT = 1704067200.0, 86400.0, 1704700000.5
@@ -476,3 +477,47 @@ def u9_provenance(spark, d):
     rows = table(spark, d, "events").select(F.col("event_type").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
     used = rows.where("path < 'p'").select("path", F.explode(F.array(F.lit("shift"), F.lit("scale"), F.lit("scale"))).alias("plugin"))
     return plugins.with_provenance(rows, used).select("path", "n", F.array_join("plugins", ",").alias("plugins"))
+
+
+@query(f"""WITH {_S}, d AS (SELECT user_id, event_type, t, v FROM s) SELECT user_id, event_type, CAST(floor(t / 432000.0) AS BIGINT) AS page, len(list(v)) AS n, array_to_string(list(round(v, 2) ORDER BY t), ',') AS body FROM d GROUP BY ALL""")
+def t14_signal_in_pages(spark, d):
+    w = timeops.whole_signal(samples(spark, d), KEYS, bucket=432000.0)
+    return w.select(*KEYS, "page", F.size("values").cast("long").alias("n"), F.array_join(F.transform("values", lambda x: F.round(x, 2).cast("string")), ",").alias("body"))
+
+
+@query(_GAPS)
+def t7_gap_fill_bucketed(spark, d):
+    s = samples(spark, d)
+    asked = timeops.with_times(s.select(*KEYS).distinct(), TIMES)
+    return timeops.get_slice_gaps(s, s, asked, ["user_id"], ["event_type"], bucket=3 * 86400.0)
+
+
+@query(f"WITH {_S} SELECT user_id, t, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS INTEGER) AS time_idx FROM (SELECT DISTINCT user_id, t FROM s)")
+def t13_numbered_times(spark, d):
+    return timeops.time_base(samples(spark, d), ["user_id"], bucket=3 * 86400.0)
+
+
+@query("SELECT r_name || '/' || n_nationkey || '/' || n_name AS path, r_name || '/' || n_name AS schema_path, CASE WHEN n_regionkey <> 1 THEN 'unit-' || n_name END AS units FROM nation JOIN region ON n_regionkey = r_regionkey")
+def j4_metadata(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    both = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    tree = both.select(F.concat_ws("/", "r_name", F.col("n_nationkey").cast("string"), "n_name").alias("path"))
+    known = both.where("n_regionkey <> 1").select(F.concat_ws("/", "r_name", "n_name").alias("schema_path"), F.concat(F.lit("unit-"), "n_name").alias("units"))
+    return catalog.with_metadata(tree, known).select("path", "schema_path", "units")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, count(*) AS n, sum(l_quantity) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT o_custkey, count(*) || 'x' || max(n) AS dims, CAST(sum(n) AS INTEGER) AS n, CAST(sum(q) AS DOUBLE) AS total FROM o GROUP BY 1""")
+def p2_tensor_of_leaf(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
+    both = o.join(orders(spark, d), "l_orderkey")
+    nested_rows = nested.nest(both, ["o_custkey"], "l_orderkey", ["lines"], "orders")
+    x = nested_rows.select("o_custkey", selection.tensor("orders/lines/l_quantity", {"orders", "lines"}).alias("x"))
+    total = F.aggregate("x.data", F.lit(0.0), lambda a, y: a + y.cast("double"))
+    return x.select("o_custkey", F.array_join(F.transform("x.dims", lambda y: y.cast("string")), "x").alias("dims"), F.size("x.data").alias("n"), total.alias("total"))
+
+
+@query("WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT vec_id, v FROM x WHERE k // 16 = 2 AND (k // 4) % 4 >= 1 AND k % 4 IN (1, 2)")
+def p8_view_slicing(spark, d):
+    part, _ = tensor.view(F.col("embedding"), [4, 4, 4], [("at", 2), ("from", 1), ("between", 1, 3)])
+    return table(spark, d, "embeddings").select("vec_id", F.explode(part).alias("v"))

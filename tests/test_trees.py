@@ -263,7 +263,8 @@ def test_plugin_hooks_and_provenance(spark, tmp_path):
     p, d = Plugins(enabled=True), Doubling()
     p.register("d", d), p.register("r", Reading())
     p.bind("a", "d")
-    p.begin("slice", "a"), p.end("slice", "a")
+    with p.action("slice", "a"):
+        pass
     assert d.seen == [("begin", "slice", "a"), ("end", "slice", "a")] and p.begin_array("a", df).count() == 1 and p.begin_array("b", df).count() == 4
     assert sorted(r["value"] for r in p.write(df, "a").collect()) == [2.0, 6.0] and p.without_reserved(df).count() == 3
     p.bind("b", "r")
@@ -305,3 +306,29 @@ def test_sliding_and_session_windows(spark, tmp_path):
         append.windowed(stream, ["k"], "1 hour", **how).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / (name + "cp"))).outputMode("append").trigger(availableNow=True).start().awaitTermination()
         got = spark.read.parquet(str(tmp_path / name)).where("total > 0")
         assert got.count() == want
+
+
+def test_views_of_tensors(spark):
+    from chronolith.operators import tensor
+
+    df = spark.createDataFrame([([100 * i + 10 * j + k for i in range(2) for j in range(3) for k in range(4)],)], "x array<int>")
+    got, kept = tensor.view(F.col("x"), [2, 3, 4], [("at", 1), ("from", 1), ("between", 1, 3)])
+    assert kept == [2, 2] and df.select(got).first()[0] == [111, 112, 121, 122]
+    got, kept = tensor.view(F.col("x"), [2, 3, 4], [tensor.ALL, ("to", 1), ("at", 3)])
+    assert kept == [2, 1] and df.select(got).first()[0] == [3, 103]
+    for bad in ([("at", 2), tensor.ALL, tensor.ALL], [tensor.ALL], [("between", 1, 5), tensor.ALL, tensor.ALL]):
+        with pytest.raises(IndexError):
+            tensor.view(F.col("x"), [2, 3, 4], bad)
+
+
+def test_cached_base(spark):
+    rows, base = spark.range(3).select("id", (F.col("id") % 2).alias("k")), spark.createDataFrame([(0, 1.0), (1, 2.0)], "k long, t double")
+    assert sorted(r["t"] for r in bases.on_cached_base(rows, base, ["k"]).collect()) == [1.0, 1.0, 2.0]
+
+
+def test_selections_of_flat_rows(spark):
+    from chronolith.plans import selection
+
+    df = spark.createDataFrame([(0.5, 0), (1.5, 1), (2.5, 2)], "t double, i int")
+    n = lambda p: df.where(selection.condition(p, F.col("t"), F.col("i"))).count()
+    assert [n(p) for p in ("a[time=1:2]/x", "a[1]/x", "a[1:]/x", "a[:2]/x", "a[time=1]/x", "a/x")] == [1, 1, 2, 2, 3, 3]
