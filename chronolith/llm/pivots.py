@@ -1,16 +1,22 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by its nearest pivots in order; pivots are vectors of a bounded sample. Inverted lists hold,
-under every pair of near pivots, the vectors that have both; vectors of a list that share enough pivots are
-candidates, and their cosine is verified in double precision. Equal vectors meet in one representative first.
-
-There is no cap on lists, candidates or partners: a list longer than LIST_ROWS is cut in blocks, and pairs of
-blocks are compared in separate groups, so that a group stays small however crowded its list is. A pair that
-several lists hold is counted in the first of them alone, so pairs never need to be shuffled.
+under every pair of near pivots, the vectors that have both, as ids and pivots alone. The pivots that two vectors of a
+list share are counted, and pairs below SHARED are dropped; only vectors that have a pair left are then fetched for
+their lists, and the cosine of these pairs is verified in double precision. Equal vectors meet in one representative
+first.
+
+The number of pivots grows with the square root of the number of vectors, so that lists stay short, up to MOST_PIVOTS;
+beyond that (4 million vectors) lists grow in proportion. There is no cap on lists, candidates or partners: a list
+longer than LIST_ROWS is cut in blocks, and pairs of blocks are compared in separate groups, so that a group stays
+small however crowded its list is. A pair that several lists hold is counted in the first of them alone, so pairs never
+need to be shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +24,8 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import connected_components, map_rows, materialize
 
-#: Vectors the pivots are chosen from, pivots, nearest pivots of a vector, pivots a pair must share.
-SAMPLE, PIVOTS, NEAREST, SHARED = 4096, 256, 8, 2
+#: Fewest and most pivots, vectors of the sample per pivot, nearest pivots of a vector, pivots a pair must share.
+PIVOTS, MOST_PIVOTS, SAMPLE, NEAREST, SHARED = 256, 8192, 4, 8, 3
 #: No two pivots are as alike as this: of a crowd of near copies one is a pivot at most, so that all of them see the
 #: same pivots in nearly the same order.
 APART = 0.7
@@ -37,9 +43,14 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, v).alias("v"))
 
 
-def choose_pivots(reps: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
+def pivot_count(vectors: int) -> int:
+    """Pivots for so many vectors: four times the square root, within PIVOTS and MOST_PIVOTS."""
+    return min(MOST_PIVOTS, max(PIVOTS, 4 * math.isqrt(vectors)))
+
+
+def choose_pivots(reps: DataFrame, pivots: int = PIVOTS, sample: int | None = None) -> dict[int, np.ndarray]:
     """By dimension: unit vectors picked from a hash-ordered sample, each as far as possible from those before."""
-    rows = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
+    rows = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample or SAMPLE * pivots).collect()
     out = {}
     for dim in {len(r["v"]) for r in rows}:
         x = _unit(np.array([r["v"] for r in rows if len(r["v"]) == dim]))
@@ -70,7 +81,9 @@ def describe(reps: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAR
                 at = np.nonzero(sizes == dim)[0]
                 u = _unit(flat[(ends[at] - dim)[:, None] + np.arange(dim)])
                 p = pivots.get(int(dim), np.zeros((1, dim)))
-                order = np.argsort(-(u @ p.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
+                like = -(u @ p.T)
+                best = np.sort(np.argpartition(like, min(nearest, len(p)) - 1, axis=1)[:, :nearest], axis=1)
+                order = np.take_along_axis(best, np.argsort(np.take_along_axis(like, best, 1), axis=1, kind="stable"), 1).astype(np.int32)
                 for k, o, x in zip(at, order, u):
                     near[k], unit[k] = o, x
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unit, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.int32()))], ["rep", "n", "u", "near"])
@@ -89,40 +102,47 @@ def _keys(near: np.ndarray, pivots: int, dim: int) -> np.ndarray:
 
 
 def postings(described: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """(key, rep): one row per pair of a vector's near pivots; vectors of different lengths share no key."""
+    """(key, rep, near): one row per pair of a vector's near pivots; vectors of different lengths share no key."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys = [_keys(np.array(x), pivots, d) for x, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            reps = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(reps)], ["key", "rep"])
+            of = np.repeat(np.arange(batch.num_rows), [len(k) for k in keys])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of))], ["key", "rep", "near"])
 
         return one
 
-    return map_rows(described.select("rep", "near", F.size("u").alias("d")), make, "key long, rep long")
+    return map_rows(described.select("rep", "near", F.size("u").alias("d")), make, "key long, rep long, near array<int>")
 
 
-def _list_links(key: int, x: np.ndarray, near: np.ndarray, n: np.ndarray, side: np.ndarray | None, threshold: float, shared: int, pivots: int):
-    """Links of one list (side: of one pair of its blocks): places i < j, for which this key is the first they share."""
-    same = np.triu(x @ x.T >= threshold, 1)
+def tally(key: int, near: np.ndarray, side: np.ndarray | None, shared: int, pivots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of a list (side: of one pair of its blocks) that share enough pivots, and this key as the first pair."""
+    used, place = np.unique(near, return_inverse=True)
+    held = np.zeros((len(near), len(used)), np.float32)
+    held[np.arange(len(near))[:, None], place.reshape(near.shape)] = 1
+    same = np.triu(held @ held.T >= min(shared, near.shape[1]), 1)
     if side is not None:
         same &= side[:, None] != side[None, :]
     i, j = np.nonzero(same)
-    if not len(i):
-        return i, j
-    # Tally of shared pivots, and of those up to this key's second pivot: exactly its own two, if it is the first.
-    second = key % pivots
-    total, early = np.zeros(len(i), np.int16), np.zeros(len(i), np.int16)
-    for at in range(0, len(i), 1 << 18):
-        a, b = near[i[at : at + (1 << 18)]], near[j[at : at + (1 << 18)]]
-        hit = (a[:, :, None] == b[:, None, :]).any(axis=2)
-        total[at : at + (1 << 18)] = hit.sum(axis=1)
-        early[at : at + (1 << 18)] = (hit & (a <= second)).sum(axis=1)
-    own = 1 if key // pivots % pivots == second else 2
-    keep = (total >= min(shared, near.shape[1])) & (early == own)
+    # of the pivots up to this key's second they share exactly its own two, if it is the first
+    early = used <= key % pivots
+    own = 1 if key // pivots % pivots == key % pivots else 2
+    keep = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 16):
+        keep[at : at + (1 << 16)] = (held[i[at : at + (1 << 16)]] * held[j[at : at + (1 << 16)]])[:, early].sum(axis=1) == own
     return i[keep], j[keep]
 
 
+def cosines(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows i and j of x."""
+    if len(i) * 8 > len(x) ** 2:
+        return (x @ x.T)[i, j]
+    out = np.empty(len(i))
+    for at in range(0, len(i), 1 << 16):
+        out[at : at + (1 << 16)] = np.einsum("ij,ij->i", x[i[at : at + (1 << 16)]], x[j[at : at + (1 << 16)]])
+    return out
+
+
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     root = np.arange(n)
     while True:
@@ -135,33 +155,60 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def pair_links(described: DataFrame, threshold: float, shared: int = SHARED, pivots: int = PIVOTS, list_rows: int = LIST_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(src, dst, n): dst null: src has n linked vectors more; n null: src and dst belong together (a spanning forest)."""
-    posted = postings(described, pivots)
-    # One row per pair of pivots and dimension: the index's directory, bounded by the number of pivots squared.
+def _lists(table: pa.Table):
+    """(key, first row, row after the last, side) per list of a group, or per pair of blocks, of a table sorted by them."""
+    key, lo, hi, b = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "b"))
+    cuts = np.nonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0))[0] + 1
+    for a, z in zip([0, *cuts], [*cuts, len(key)]):
+        if z - a > 1:
+            yield int(key[a]), a, z, None if lo[a] == hi[a] else b[a:z]
+
+
+_ORDER = [("key", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("rep", "ascending")]
+
+
+def candidates(described: DataFrame, shared: int = SHARED, pivots: int = PIVOTS, list_rows: int = LIST_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(key, lo, hi, b, rep): the vectors of each list, or pair of blocks lo and hi of one, that share enough with another there."""
+    posted = materialize(postings(described, pivots), "postings")
     sizes = posted.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    groups = max(1, -(-(sizes.agg(F.sum("rows")).first()[0] or 0) // group_rows))
+    groups = max(1, -(-posted.count() // group_rows))
     blocks = F.ceil(F.col("rows") / list_rows).cast("int")
-    held = posted.join(F.broadcast(sizes), "key").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    held = posted.join(sizes, "key").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = held.select("key", "rep", "b", "blocks", other.alias("o")).select(
-        "key", "rep", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"),
+    placed = held.select("key", "rep", "near", "b", "blocks", other.alias("o")).select(
+        "key", "rep", "near", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o"))).alias("grp"),
     )
-    rows = placed.join(described, "rep").select("grp", "key", "lo", "hi", "b", "rep", "n", "u", "near")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("rep", "ascending")])
-        key, lo, hi, b, rep, n = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "b", "rep", "n"))
+        table = table.combine_chunks().sort_by(_ORDER)
+        near, kept = table.column("near").combine_chunks(), [np.zeros(0, np.int64)]
+        for key, a, z, side in _lists(table):
+            p = near.slice(a, z - a).flatten().to_numpy().reshape(z - a, -1)
+            kept.append(a + np.unique(np.concatenate(tally(key, p, side, shared, pivots))))
+        return table.select(["key", "lo", "hi", "b", "rep"]).take(pa.array(np.concatenate(kept)))
+
+    return placed.groupBy("grp").applyInArrow(run, "key long, lo int, hi int, b int, rep long")
+
+
+def pair_links(described: DataFrame, threshold: float, shared: int = SHARED, pivots: int = PIVOTS, list_rows: int = LIST_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(src, dst, n): dst null: src has n linked vectors more; n null: src and dst belong together (a spanning forest)."""
+    left = materialize(candidates(described, shared, pivots, list_rows, group_rows), "candidates")
+    groups = max(1, -(-left.count() // group_rows))
+    group = F.when(F.col("lo") == F.col("hi"), F.pmod(F.xxhash64("key", "lo"), F.lit(groups))).otherwise(F.xxhash64("key", "lo", "hi"))
+    rows = left.withColumn("grp", group).join(described, "rep").select("grp", "key", "lo", "hi", "b", "rep", "n", "u", "near")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by(_ORDER)
+        rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
         u, near = table.column("u").combine_chunks(), table.column("near").combine_chunks()
-        cuts = np.nonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0))[0] + 1
         src, dst, num = [], [], []
-        for a, z in zip([0, *cuts], [*cuts, len(key)]):
-            if z - a < 2:
-                continue
+        for key, a, z, side in _lists(table):
             x = u.slice(a, z - a).flatten().to_numpy().reshape(z - a, -1)
             p = near.slice(a, z - a).flatten().to_numpy().reshape(z - a, -1)
-            i, j = _list_links(int(key[a]), x, p, n[a:z], None if lo[a] == hi[a] else b[a:z], threshold, shared, pivots)
+            i, j = tally(key, p, side, shared, pivots)
+            like = cosines(x, i, j) >= threshold
+            i, j = i[like], j[like]
             if not len(i):
                 continue
             count = np.bincount(i, n[a:z][j], z - a) + np.bincount(j, n[a:z][i], z - a)
@@ -185,11 +232,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     """
     rows = usable(df, id_col, vec_col)
     part = {k: v for k, v in index.items() if k in ("shared", "list_rows", "group_rows")}
-    m, near = index.get("pivots", PIVOTS), index.get("nearest", NEAREST)
     members = rows.where("v is not null and vec_id is not null")
     reps = members.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "vectors")  # written once, so it stays
-    described = materialize(describe(reps, choose_pivots(reps, index.get("sample", SAMPLE), m), near), "pivots")
+    m = index.get("pivots") or pivot_count(reps.count())
+    described = materialize(describe(reps, choose_pivots(reps, m, index.get("sample")), index.get("nearest", NEAREST)), "pivots")
     found = materialize(pair_links(described, threshold, pivots=m, **part), "links")
     roots = connected_components(found.where("dst is not null").select("src", "dst"))
     counts = found.where("n is not null").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("links"))
