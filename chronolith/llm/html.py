@@ -6,14 +6,14 @@ are tied by smoothness edges, the stronger the closer they are in the tree. The
 boilerplate at the least total cost, so a short paragraph goes with the long ones around it.
 
 The pages carry no labels, so the classifier is a linear model with fixed weights over tags, class and id words,
-link share and length.
+link share and length. Where it finds no content at all, class and id words that articles may also have don't count.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,18 +21,22 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import map_rows
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "title", "select", "audio", "video"}
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
+#: Elements whose content isn't markup.
+_RAW = {"script", "style", "iframe", "textarea", "title"}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""=\s*["']|>""")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
-_BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+_BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "template", "tfoot", "th", "thead", "tr", "ul"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _KEEPS_P = {"button", "caption", "td", "th", "li", "dd", "dt", "body", "html", "article", "section", "main", "div", "blockquote"}
 
-_BAD_TAG = {"nav": -9, "footer": -9, "aside": -9, "form": -9, "menu": -9, "dialog": -9, "button": -9, "fieldset": -9, "head": -9, "search": -9}
+_BAD_TAG = {"nav": -9, "footer": -9, "aside": -9, "form": -9, "menu": -9, "dialog": -9, "button": -9, "fieldset": -9, "head": -9, "search": -9, "select": -9, "option": -9, "template": -9}
 _GOOD_TAG = {"article": 5, "main": 4, "p": 1, "blockquote": 1, "pre": 1, "h1": 1, "h2": 1, "h3": 1, "figcaption": 0.5}
 _BAD_WORD = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|related|recommend\w*|trending|popular|footer|foot|masthead|topbar|toolbar|share|sharing|social|comments?\w*|commentlist|respond|replies|reply|disqus|discussion|tags?|pagination|pager|search|skip|hidden|copyright|legal|disclaimer)(?=$|[-_\s\d])", re.I)
+#: Of these, words that an article may also have to do with: they don't count where a page has nothing else.
+_WEAK_WORD = re.compile(r"^[-_\s]*(?:notice|notification|alert|legal|discussion|disclaimer|side|widget|related|recommend\w*|trending|popular|share|sharing|social|tags?|search|banner|overlay|modal|login|consent|foot|skip|copyright)$", re.I)
 _MODIFIER = re.compile(r"\b(?:has|have|with|without|no|is|js)[-_][\w-]+", re.I)
 _HEADER_WORD = re.compile(r"(?:^|[-_\s])(?:page|site|top|main|global)?-?header(?=$|[-_\s\d])", re.I)
 _GOOD_WORD = re.compile(r"(?:^|[-_\s])(?:article\w*|content|entry|story|post|main|body|text|prose|maincontent)(?=$|[-_\s\d])", re.I)
@@ -42,18 +46,93 @@ _SAYS = re.compile(r"^(?:©|\(c\)|copyright\b|all rights reserved|share this|fol
 UNIT, NEAR, FAR = 100, 150, 20
 
 
+class Element:
+    """An open element; low and good are the least cost and the sum of the positive ones from the root, first as they
+    are, then without weak words."""
+
+    __slots__ = ("depth", "good", "inside", "low", "number", "tag", "up")
+
+    def __init__(self, tag: str, number: int, up: "Element | None", cost: float = 0.0, weak: float = 0.0):
+        self.tag, self.number, self.up = tag, number, up
+        own = (cost, cost - weak)
+        self.depth = up.depth + 1 if up else 0
+        self.inside = tag in ("article", "main") or bool(up and up.inside)
+        self.low = tuple(min(a, b) for a, b in zip(own, up.low)) if up else (0.0, 0.0)
+        self.good = tuple(max(a, 0.0) + b for a, b in zip(own, up.good)) if up else (0.0, 0.0)
+
+
 class Block:
-    __slots__ = ("parts", "path", "links", "size", "text")
+    __slots__ = ("links", "parts", "size", "text", "under")
 
-    def __init__(self, path):
-        self.parts, self.path, self.links, self.size, self.text = [], path, 0, 0, ""
+    def __init__(self, under: Element):
+        self.parts, self.under, self.links, self.size, self.text = [], under, 0, 0, ""
+
+
+def tokens(page: str):
+    """(text, name, attributes) in order: text before a tag and the tag, "" at the end; name has / in front for an end tag.
+
+    One pass: quotes count after = alone, as in browsers; one that never closes ends with its tag, and after a tag that
+    doesn't end because of its quotes, quotes don't count any more. A tag that never ends takes the rest with it.
+    """
+    at = start = 0
+    quotes, n = True, len(page)
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt + 1 >= n:
+            yield page[start : n if lt < 0 else lt], "", ""
+            return
+        sign = page[lt + 1]
+        if sign in "!?":
+            close = page.find("-->", lt + 4) + 2 if page.startswith("<!--", lt) else page.find(">", lt)
+            if close < 2:
+                yield page[start:lt], "", ""
+                return
+            yield page[start:lt], "", ""
+            at = start = close + 1
+            continue
+        name = _NAME.match(page, lt + 1)
+        if not name:
+            at = lt + 1
+            continue
+        pos, close = name.end(), -1
+        while quotes:
+            stop = _STOP.search(page, pos)
+            if not stop:
+                quotes = False
+            elif stop[0] == ">":
+                close = stop.start()
+                break
+            else:
+                shut = page.find(stop[0][-1], stop.end())
+                if shut < 0:
+                    close = page.find(">", stop.end())
+                    quotes = close >= 0
+                    break
+                pos = shut + 1
+        if not quotes:
+            close = page.find(">", name.end())
+        if close < 0:
+            yield page[start:lt], "", ""
+            return
+        tag = name[0].lower()
+        yield page[start:lt], tag, page[name.end() : close]
+        at = start = close + 1
+        if tag in _RAW and page[close - 1] != "/":
+            end = _RAW_END[tag].search(page, at)
+            if not end:
+                return
+            shut = page.find(">", end.end())
+            if shut < 0:
+                return
+            at = start = shut + 1
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in order. path: (tag, element number, costs so far) from the root."""
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]
+    """The page's blocks with text, in order."""
+    under = Element("", 0, None)
+    opened: Counter[str] = Counter()
     out: list[Block] = []
-    now, links, number, at, n = Block(tuple(stack)), 0, 0, 0, len(page)
+    now, links, number = Block(under), 0, 0
 
     def end():
         nonlocal now
@@ -61,7 +140,12 @@ def blocks(page: str) -> list[Block]:
             now.text = " ".join(entities.unescape("".join(now.parts)).split())
             if now.text:
                 out.append(now)
-        now = Block(tuple(stack))
+        now = Block(under)
+
+    def leave():
+        nonlocal under
+        opened[under.tag] -= 1
+        under = under.up
 
     def say(text: str):
         if text:
@@ -70,59 +154,48 @@ def blocks(page: str) -> list[Block]:
             now.size += size
             now.links += size if links else 0
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            rest = page[at:]
-            cut = rest.find("<")  # a tag that never ends
-            while cut >= 0 and not re.match(r"</?[a-zA-Z!?]", rest[cut:]):
-                cut = rest.find("<", cut + 1)
-            say(rest if cut < 0 else rest[:cut])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m.group(2) or "").lower()
+    for text, tag, attrs in tokens(page):
+        say(text)
         if not tag:
             continue
-        if m.group(1):
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in _BLOCK:
                 end()
-                if any(t == tag for t, _, _ in stack):
-                    while stack[-1][0] != tag:
-                        stack.pop()
-                    stack.pop()
+                if opened[tag] > 0:
+                    while under.tag != tag:
+                        leave()
+                    leave()
                     links = 0
-                now = Block(tuple(stack))
+                now = Block(under)
             continue
-        if tag in _RAW and not m.group(3).endswith("/"):
-            close = _RAW_END[tag].search(page, at)
-            at = close.end() if close else n
+        if tag in _RAW:
             continue
         if tag == "br":
             say(" ")
         elif tag in _BLOCK:
             end()
-            if tag in _CLOSES or (tag in _BLOCK and stack[-1][0] == "p"):
+            if tag in _CLOSES or under.tag == "p":
                 shut = _CLOSES.get(tag, {"p"}) | {"p"}
-                while stack[-1][0] in shut:
-                    stack.pop()
+                while under.tag in shut:
+                    leave()
             if tag not in _VOID:
                 number += 1
-                stack.append((tag, number, _element(tag, m.group(3), stack)))
+                opened[tag] += 1
+                under = Element(tag, number, under, *_element(tag, attrs, under.inside))
             links = 0
-            now = Block(tuple(stack))
+            now = Block(under)
         elif tag == "a":
             links += 1
     end()
     return out
 
 
-def _element(tag: str, attrs: str, stack: list) -> float:
-    """What being inside this element says for content."""
-    cost = _BAD_TAG.get(tag, _GOOD_TAG.get(tag, 0.0))
-    inside = any(t in ("article", "main") for t, _, _ in stack)
+def _element(tag: str, attrs: str, inside: bool) -> tuple[float, float]:
+    """What being inside this element says for content; and how much of that is due to weak words."""
+    cost, weak = _BAD_TAG.get(tag, _GOOD_TAG.get(tag, 0.0)), 0.0
     if tag == "header" and not inside:
         cost = -9.0
     if attrs:
@@ -137,17 +210,19 @@ def _element(tag: str, attrs: str, stack: list) -> float:
                 cost -= 9
         words = _MODIFIER.sub("", words) if words else ""
         if words and tag not in ("body", "html", "article", "main"):
-            if _BAD_WORD.search(words) or (_HEADER_WORD.search(words) and not inside) or re.search(r"\b(?:navigation|banner|contentinfo|complementary|dialog)\b", words, re.I):
+            bad = [x[0] for x in _BAD_WORD.finditer(words)]
+            sure = (_HEADER_WORD.search(words) and not inside) or re.search(r"\b(?:navigation|contentinfo|complementary|dialog)\b", words, re.I) or (bad and not all(map(_WEAK_WORD.match, bad)))
+            if bad or sure:
                 cost -= 9
+                weak = 0.0 if sure else -9.0
             elif _GOOD_WORD.search(words):
                 cost += 3
-    return cost
+    return cost, weak
 
 
-def cost(block: Block) -> float:
+def cost(block: Block, weak: bool = True) -> float:
     """The classifier: above 0 for content, below for boilerplate."""
-    low = min((c for _, _, c in block.path), default=0.0)
-    score = sum(c for _, _, c in block.path if c > 0)
+    low, score = block.under.low[not weak], block.under.good[not weak]
     score = low if low <= -5 else min(score, 8.0) + low
     share = block.links / block.size if block.size else 0.0
     words = len(block.text.split())
@@ -161,12 +236,13 @@ def cost(block: Block) -> float:
 
 def closeness(a: Block, b: Block) -> int:
     """Smoothness capacity by the distance in the tree to the nearest common element."""
-    shared = 0
-    for (_, x, _), (_, y, _) in zip(a.path, b.path):
-        if x != y:
-            break
-        shared += 1
-    return max(FAR, NEAR >> max(0, (len(a.path) - shared) + (len(b.path) - shared) - 2))
+    x, y, far = a.under, b.under, 0
+    while x is not y and NEAR >> max(0, far - 2) > FAR:
+        if x.depth >= y.depth:
+            x, far = x.up, far + 1
+        else:
+            y, far = y.up, far + 1
+    return max(FAR, NEAR >> max(0, far - 2))
 
 
 def min_cut(gains: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -236,10 +312,12 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     gains = [round(UNIT * cost(b)) for b in found]
+    if all(g <= 0 for g in gains):
+        gains = [round(UNIT * cost(b, weak=False)) for b in found]
     edges = [(k, k + 1, closeness(found[k], found[k + 1])) for k in range(len(found) - 1)]
     last: dict[int, int] = {}  # element -> its last child block, for ties across what lies between siblings
     for k, b in enumerate(found):
-        parent = b.path[-2][1] if len(b.path) > 1 else 0
+        parent = b.under.up.number if b.under.up else 0
         if parent in last and last[parent] < k - 1:
             edges.append((last[parent], k, NEAR // 2))
         last[parent] = k
