@@ -1,17 +1,16 @@
 """Quality classifier: supervised subword embeddings.
 
-Hashed words, character n-grams and pairs of words have learned vectors (of pairs, those of one word with itself, all
-as one: which word is repeated doesn't matter); a document is the mean of all of its vectors, and a
-softmax layer reads it. Trained by numpy stochastic gradient descent on a bounded sample of labelled rows. As the
-output layer is linear, a vector enters a score only as its product with that layer, so scoring needs one number
-per bucket, and a word's share is remembered.
+Hashed words, pairs of neighbouring words and character n-grams have learned vectors (pairs of a word with itself are
+one n-gram, whatever the word); a document is the mean of all of its vectors, and a softmax
+layer reads it. Trained by numpy stochastic gradient descent on a bounded sample of labelled rows, in one task, from
+bags of buckets that are made where the texts lie. As the output layer is linear, a vector enters a score only as its
+product with that layer, so scoring needs one number per bucket, and a word's share is remembered.
 """
 
 from __future__ import annotations
 
-import operator
+import zlib
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import map_rows
-from chronolith.llm.words import Scorer, held_out, sample, score_texts
+from chronolith.llm.words import Scorer, held_out, learn, sample, score_texts
 
 #: Labelled rows and characters of one text that training takes at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 200_000
@@ -27,15 +26,12 @@ BUCKETS, DIM, GRAMS = 1 << 17, 12, (2, 3, 4)
 EPOCHS, RATE, SEED = 6, 0.4, 11
 THRESHOLD = 0.3
 
-#: Buckets that a repeated word adds to, so that it weighs about as much as the word's own n-grams.
-REPEATS = 8
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fold(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
-    return REPEATS + ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS - REPEATS)).astype(np.int64)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,29 +58,46 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def repeats(words: list[str]) -> int:
-    """How many words are the same as the one before."""
-    return sum(map(operator.eq, words, islice(words, 1, None)))
+def keys(words: list[str]) -> np.ndarray:
+    """A hash of 32 bits per word, which pairs are made of."""
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def pairs(key: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of neighbouring words, from the words' keys."""
+    a, b = key[:-1], key[1:]
+    return _fold(np.where(a == b, np.uint64(3), (a << np.uint64(32) | b) ^ np.uint64(0x5851F42D4C957F2D)))
 
 
 def _document(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Its buckets and how often each occurs."""
     words = text.split()
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     own = Counter(words)
     buckets, owners = subwords(list(own))
-    ids, inverse = np.unique(buckets, return_inverse=True)
-    times = np.bincount(inverse, np.array(list(own.values()), np.float64)[owners], len(ids))
-    if again := repeats(words):
-        ids, times = np.append(np.arange(REPEATS), ids), np.append(np.full(REPEATS, again), times)
-    return ids, times.astype(np.float32)
+    two = pairs(keys(words))
+    ids, inverse = np.unique(np.concatenate([buckets, two]), return_inverse=True)
+    times = np.bincount(inverse, np.concatenate([np.array(list(own.values()), np.float64)[owners], np.ones(len(two))]), len(ids))
+    return ids.astype(np.int32), times.astype(np.float32)
+
+
+def _bag(text: str) -> bytes:
+    """_document() packed: steps between buckets compress well, and a task holds a whole sample of bags."""
+    ids, times = _document(text)
+    return zlib.compress(np.diff(ids, prepend=0).astype(np.int32).tobytes() + times.tobytes(), 1)
+
 
+def _unbag(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(bag)
+    half = len(raw) // 2
+    return np.cumsum(np.frombuffer(raw[:half], np.int32)), np.frombuffer(raw[half:], np.float32)
 
-def train(rows: list[tuple[int, str, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
+
+def train(rows: list[tuple[int, bytes, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
     """(weight per bucket, bias): the log-odds of label 1 are the mean weight of a text's buckets plus the bias.
 
-    Without rows, or with one label alone, the weights are zero and the bias says how often label 1 occurs.
+    rows: (doc_id, bag, label). Without rows, or with one label alone, the weights are zero and the bias says how often label 1 occurs.
     """
     labels = np.array([y for _, _, y in rows], np.int64)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -93,11 +106,10 @@ def train(rows: list[tuple[int, str, int]], epochs: int = EPOCHS, rate: float =
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    bags = [_document(text) for _, text, _ in rows]
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            ids, times = bags[k]
+            ids, times = _unbag(rows[k][1])
             step = rate * (1 - done / steps)
             done += 1
             total = times.sum()
@@ -115,16 +127,25 @@ def train(rows: list[tuple[int, str, int]], epochs: int = EPOCHS, rate: float =
     return vectors @ (out[1] - out[0]), float(bias[1] - bias[0])
 
 
+def fit(rows: DataFrame) -> tuple[np.ndarray, float]:
+    """train() of a sample() in one task of the cluster."""
+
+    def one(got):
+        weights, bias = train(got)
+        return weights.astype(np.float32).tobytes() + np.float64(bias).tobytes()
+
+    model = learn(rows, _bag, one)
+    return np.frombuffer(model[:-8], np.float32), float(np.frombuffer(model[-8:])[0])
+
+
 def _scorer(weights: np.ndarray, bias: float):
     def words(new: list[str]) -> np.ndarray:
         buckets, owners = subwords(new)
-        return np.stack([np.bincount(owners, weights[buckets], len(new)), np.bincount(owners, minlength=len(new))], axis=1)
-
-    again = float(weights[:REPEATS].sum())
+        return np.stack([np.bincount(owners, weights[buckets], len(new)), np.bincount(owners, minlength=len(new)), keys(new)], axis=1)
 
-    def add(values: np.ndarray, words: list[str]) -> np.ndarray:
-        n = repeats(words)
-        return values.sum(axis=0) + (n * again, n * REPEATS)
+    def add(values: np.ndarray, _) -> np.ndarray:
+        two = pairs(values[:, 2].astype(np.uint64))
+        return values[:, :2].sum(axis=0) + (weights[two].sum(dtype=np.float64), len(two))
 
     def finish(s):
         return (float(1 / (1 + np.exp(-np.clip((s[0] / s[1] if s is not None else 0.0) + bias, -500, 500)))),)
@@ -161,6 +182,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, r
     Learns from labelled rows that are not held out, at most rows of them. Repeated rows and null ids are scored
     like any other (a null id is never held out); an empty table gives no rows; other columns are no input.
     """
-    weights, bias = train(sample(docs, labels, "quality", rows, chars))
+    weights, bias = fit(sample(docs, labels, "quality", rows, chars))
     scored = score(docs, weights, bias)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -5,23 +5,25 @@ is its expected severity. Features are words (lower case, letters only) and begi
 documents from others in the labelled sample. x holds each one's count n as log(1 + n), which long texts don't dilute,
 and its density as log(1 + 100 n / words), which short texts don't hide.
 
-The labels say toxic or not. Grades are made from them: 0 for not toxic; toxic documents have grade 1 to GRADES - 1
-by how many occurrences of the telling words they hold (1, 2-3, 4 and more).
+The labels say toxic or not. Grades are made from them: 0 for not toxic; toxic documents have grade 1 to GRADES - 1 by
+how sure a yes-or-no model is of them that has learnt from the other folds alone, in equal parts. So no document is
+graded by a model, or by words, chosen with its help.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.words import Scorer, held_out, sample, score_texts
+from chronolith.llm.words import Scorer, held_out, learn, sample, score_texts
 
 #: Labelled rows and characters of one text that training takes at most; words that become features.
 SAMPLE_ROWS, SAMPLE_CHARS, FEATURES = 6000, 200_000, 256
-GRADES = 4
+GRADES, FOLDS = 4, 3
 #: A word is a feature if toxic documents hold it this often and this many times as often as others.
 LEAST, LIFT = 4, 2.0
 #: Lengths of the beginnings of words.
@@ -60,29 +62,63 @@ def choose(bags: list[dict[str, int]], toxic: np.ndarray, features: int = FEATUR
     return [w for _, w in sorted(good)[:features]]
 
 
-def train(rows: list[tuple[int, str, int]], rounds: int = 400, ridge: float = 1e-3) -> tuple[dict[str, tuple[float, float]], np.ndarray]:
-    """(weights of count and density per feature, ordered thresholds), by gradient descent with momentum on the mean log-likelihood."""
-    bags, lengths = [], []
-    for _, text, _ in rows:
-        bag: dict[str, int] = {}
-        length = 0
-        for found in map(features, text.split()):
-            length += bool(found)
-            for w in found:
-                bag[w] = bag.get(w, 0) + 1
-        bags.append(bag), lengths.append(length)
+def bag(text: str) -> bytes:
+    """Number of words, and how often each feature occurs."""
+    held: dict[str, int] = {}
+    length = 0
+    for found in map(features, text.split()):
+        length += bool(found)
+        for w in found:
+            held[w] = held.get(w, 0) + 1
+    return json.dumps([length, held]).encode("utf-8", "replace")
+
+
+def _matrix(bags: list[dict[str, int]], lengths: np.ndarray, words: list[str]) -> np.ndarray:
+    x = np.array([[b.get(w, 0) for w in words] for b in bags], np.float64).reshape(len(bags), len(words))
+    return values(x, lengths[:, None])
+
+
+def _binary(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 12) -> np.ndarray:
+    """Weights, bias last, of a logistic regression, by Newton's method."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], ridge * len(x))
+    pull[-1] = 1e-6
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        w = w - np.linalg.solve(hessian, x.T @ (p - y) + pull * w)
+    return w
+
+
+def severity(bags: list[dict[str, int]], lengths: np.ndarray, toxic: np.ndarray, ridge: float) -> np.ndarray:
+    """Grades of labelled documents: 0, or 1 to GRADES - 1 by the rank of their out-of-fold log-odds."""
+    sure, fold = np.zeros(len(bags)), np.arange(len(bags)) % FOLDS
+    for f in range(FOLDS):
+        rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        words = choose([bags[k] for k in rest], toxic[rest])
+        if words and len(own):
+            w = _binary(_matrix([bags[k] for k in rest], lengths[rest], words), toxic[rest].astype(float), ridge)
+            sure[own] = _matrix([bags[k] for k in own], lengths[own], words) @ w[:-1] + w[-1]
+    grade = np.zeros(len(bags), np.int64)
+    order = np.flatnonzero(toxic)[np.argsort(sure[toxic], kind="stable")]
+    grade[order] = 1 + np.arange(len(order)) * (GRADES - 1) // max(len(order), 1)
+    return grade
+
+
+def train(rows: list[tuple[int, bytes, int]], rounds: int = 400, ridge: float = 1e-3) -> tuple[dict[str, tuple[float, float]], np.ndarray]:
+    """(weights of count and density per feature, ordered thresholds), by gradient descent with momentum on the mean log-likelihood.
+
+    rows: (doc_id, bag(), label).
+    """
+    read = [json.loads(b) for _, b, _ in rows]
+    bags, lengths = [b for _, b in read], np.array([n for n, _ in read], np.float64)
     toxic = np.array([y > 0 for _, _, y in rows], bool)
     words = choose(bags, toxic)
-    x = np.array([[bag.get(w, 0) for w in words] for bag in bags], np.float64).reshape(len(rows), len(words))
-    hits = x[:, [k for k, w in enumerate(words) if w[0] != "^"]].sum(axis=1)
-    grade = np.where(toxic, np.select([hits <= 1, hits <= 3], [1, 2], GRADES - 1), 0)
-    x = values(x, np.array(lengths)[:, None]) if rows else x
-    size = x.shape[1]
-    w, base, gaps = np.zeros(size), 2.0, np.zeros(GRADES - 2)
     if not words or not toxic.any():
-        return {}, base + np.arange(GRADES - 1.0)
-    params, speed = np.concatenate([w, [base], gaps]), 0.0
-    more = (grade[:, None] > np.arange(GRADES - 1)).astype(np.float64)
+        return {}, 2.0 + np.arange(GRADES - 1.0)
+    grade, x = severity(bags, lengths, toxic, ridge), _matrix(bags, lengths, words)
+    size = x.shape[1]
+    params, speed = np.concatenate([np.zeros(size), [2.0], np.zeros(GRADES - 2)]), 0.0
     scale = np.zeros_like(params)
     for r in range(rounds):
         w, theta = params[: size], params[size] + np.concatenate([[0.0], np.cumsum(np.exp(params[size + 1 :]))])
@@ -105,6 +141,17 @@ def train(rows: list[tuple[int, str, int]], rounds: int = 400, ridge: float = 1e
     return {w: (float(params[k]), float(params[half + k])) for k, w in enumerate(words)}, theta
 
 
+def fit(rows: DataFrame) -> tuple[dict[str, tuple[float, float]], np.ndarray]:
+    """train() of a sample() in one task of the cluster."""
+
+    def one(got):
+        weights, theta = train(got)
+        return json.dumps([weights, theta.tolist()]).encode()
+
+    weights, theta = json.loads(learn(rows, bag, one))
+    return {w: (a, b) for w, (a, b) in weights.items()}, np.array(theta)
+
+
 def score(docs: DataFrame, weights: dict[str, tuple[float, float]], theta: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_severity, p_toxic, grade) of every row of docs; null and blank texts have no features."""
     names = sorted(weights)
@@ -140,6 +187,6 @@ def grade_texts(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cha
     expected_severity lies between 0 and GRADES - 1, grade is the median grade, toxic says that it isn't 0. Repeated
     rows and null ids are graded like any other; an empty table gives no rows; other columns are no input.
     """
-    weights, theta = train(sample(docs, labels, "toxic", rows, chars))
+    weights, theta = fit(sample(docs, labels, "toxic", rows, chars))
     out = score(docs, weights, theta)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_severity", "p_toxic", "grade", (F.col("grade") > 0).alias("toxic"))

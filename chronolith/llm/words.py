@@ -23,18 +23,38 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of at most rows labelled documents in hash order, none of them held out.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, y) of at most rows labelled documents in hash order, none of them held out.
 
     The sample is bounded by rows and by chars, the longest text that it may hold; texts in it are whole. Rows
-    without id, text or label are passed over; of several labels of a document the smallest counts.
+    without id, text or label are passed over; of several labels of a document the smallest counts, of several texts
+    the greatest.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     picked = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= chars)
     # rows bounds the broadcast side
-    found = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()
-    return [(r["doc_id"], r["text"], r["y"]) for r in {r["doc_id"]: r for r in found}.values()]
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("y").alias("y"))
+
+
+def learn(rows: DataFrame, bag: Callable[[str], bytes], train: Callable[[list[tuple[int, bytes, int]]], bytes]) -> bytes:
+    """What train makes of rows, a sample(), in one task: it gets (doc_id, bag of the text, y) by doc_id.
+
+    Texts become bags where they lie; the driver gets the model alone.
+    """
+
+    def bags():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = pa.array([bag(x.as_py()) for x in batch.column(1)], pa.binary())
+            return pa.RecordBatch.from_arrays([batch.column(0), made, batch.column(2)], ["doc_id", "bag", "y"])
+
+        return one
+
+    def model(batches):
+        got = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        yield pa.RecordBatch.from_arrays([pa.array([train(got)], pa.binary())], ["model"])
+
+    return bytes(map_rows(rows, bags, "doc_id long, bag binary, y int").repartition(1).mapInArrow(model, "model binary").first()["model"])
 
 
 class Scorer:
