@@ -9,14 +9,16 @@ false positives (digests, identifiers, paths, placeholders, numbers), filled wit
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronolith.llm.common import materialize
+
 #: Labelled findings that training takes; forest; characters of context on either side.
 FINDINGS, TREES, DEPTH, SEED, CONTEXT = 6000, 24, 6, 5, 48
 KEEP, MASK = 0.5, "[SECRET]"
@@ -74,84 +76,149 @@ def features(c: DataFrame) -> DataFrame:
     return c.select("*", *[values[k].alias(k) for k in FEATURES])
 
 
+#: (label, before, name that belongs to the finding, secret, after). {h8}: hexadecimal, {b9}: letters and digits, {d4}: digits,
+#: {w}: a plain word, {n}: a telling name.
+_FORMS = [
+    (1, "", '{n} = "', "{h40}", '" '), (1, "", "{n}=", "{b32}", " "), (1, "", "{n}: ", "{b24}", "\n"), (1, "", '{n} = "', "{h32}", '"'), (1, "key ", "", "AKIA{H16}", " "),
+    (1, "", "", "ghp_{b36}", " "), (1, "", "", "sk_live_{b24}", " "), (1, "postgres://", "", "admin:{b12}", "@db.host"), (1, "Authorization ", "bearer: ", "{b40}", " "),
+    (1, "", "", "eyJ{b20}.{b30}.{b27}", " "), (1, "", "{n}='", "{b9}!{d2}", "'"),
+    (0, "commit ", "", "{h40}", " "), (0, "sha256:", "", "{h64}", " "), (0, "md5 checksum = ", "", "{h32}", " "), (0, "id ", "", "{h8}-{h4}-{h4}-{h4}-{h12}", " "),
+    (0, "see ", "", "/home/user{d2}/lib/data/{h8}.json", " "), (0, "https://www.example.com/static/", "", "{h16}-main-{d6}.html", " "), (0, "set ", "{n} = ", "your-token-here", " "),
+    (0, "", "{n}: ", "<insert_password>", " "), (0, "", "{n}=", "xxxxxxxxxxxxxxxx", " "), (0, "for example ", '{n}="', "changeme123", '"'), (0, "the ", "", "release-version-{d4}-build", " "),
+    (0, "mail ", "", "{w}.{d2}_mail{d1}.example.com", " "), (0, "", "{n}: ", "{w}{w}{w}", " "), (0, "call ", "{n}=", "request.session.{w}_value", " "),
+    (0, "order ", "", "INV-{d12}-{d6}-A", " "), (0, "etag ", "", "{h40}", " "), (0, "by ", "", "thread_worker_{d2}_main_module", " "),
+]
+_PLAIN = ("the", "of", "deploy", "notes", "see", "with", "server", "und", "pour", "para", "value", "a")
+_NAMED = ("token", "password", "api_key", "secret", "passwd", "auth_token", "secret_key", "access-key")
+
+
+def _parts(template: str, salt: int) -> Column:
+    """The template as an array of (kind, n, text, salt)."""
+    cut = re.split(r"\{([hHbdwn])(\d*)\}", template)
+    made = [("t", 0, cut[0], 0)]
+    for k in range(1, len(cut), 3):
+        made += [(cut[k], int(cut[k + 1] or 0), "", salt + k), ("t", 0, cut[k + 2], 0)]
+    return F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(text).alias("text"), F.lit(s).alias("salt")) for kind, n, text, s in made])
+
+
+def _fill(parts: Column, i: Column) -> Column:
+    """A template's parts, filled from hashes of i."""
+
+    def one(p):
+        digest = F.sha2(F.concat_ws("-", i, p["salt"]), 512)
+        pick = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), F.pmod(F.xxhash64(i, p["salt"]), F.lit(len(words))).cast("int") + 1)
+        mixed = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "Q")
+        return (
+            F.when(p["kind"] == "t", p["text"]).when(p["kind"] == "h", digest.substr(F.lit(1), p["n"])).when(p["kind"] == "H", F.upper(digest.substr(F.lit(1), p["n"])))
+            .when(p["kind"] == "b", mixed.substr(F.lit(1), p["n"])).when(p["kind"] == "d", F.translate(digest, "abcdef", "172839").substr(F.lit(1), p["n"]))
+            .when(p["kind"] == "w", pick(_PLAIN)).otherwise(pick(_NAMED))
+        )
+
+    return F.concat_ws("", F.transform(parts, one))
+
+
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     """(secret, found, before, after, label): the same findings for the same number of rows."""
-    i = F.col("id")
-    word = lambda salt: F.element_at(F.array(*[F.lit(w) for w in ("the", "of", "deploy", "notes", "see", "with", "server", "und", "pour", "para", "value", "a")]), F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(12)).cast("int") + 1)
-    hexes = lambda n, salt: F.substring(F.sha2(F.concat_ws("-", i, F.lit(salt)), 512), 1, n)
-    base = lambda n, salt: F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat_ws("-", i, F.lit(salt)), 512))), "[+/=]", "Q"), 1, n)
-    digits = lambda n, salt: F.lpad(F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(10**n)).cast("string"), n, "7")
-    lit, cat = F.lit, F.concat
-    case = lambda x: F.when(F.pmod(i, F.lit(5)) == 0, F.upper(x)).otherwise(x)
-    name = lambda salt: F.element_at(F.array(*[F.lit(w) for w in ("token", "password", "api_key", "secret", "passwd", "auth_token", "secret_key", "access-key")]), F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(8)).cast("int") + 1)
-    # (label, before, name that belongs to the finding, secret, after)
-    forms = [
-        (1, lit(""), cat(name(1), lit(' = "')), hexes(40, 1), lit('" ')), (1, lit(""), cat(name(2), lit("=")), base(32, 2), lit(" ")), (1, lit(""), cat(name(3), lit(": ")), base(24, 3), lit("\n")),
-        (1, lit(""), cat(name(4), lit(' = "')), hexes(32, 4), lit('"')), (1, lit("key "), lit(""), cat(lit("AKIA"), F.upper(hexes(16, 5))), lit(" ")), (1, lit(""), lit(""), cat(lit("ghp_"), base(36, 6)), lit(" ")),
-        (1, lit(""), lit(""), cat(lit("sk_live_"), base(24, 7)), lit(" ")), (1, lit("postgres://"), lit(""), cat(lit("admin:"), base(12, 8)), lit("@db.host")), (1, lit("Authorization "), lit("bearer: "), base(40, 9), lit(" ")),
-        (1, lit(""), lit(""), cat(lit("eyJ"), base(20, 10), lit("."), base(30, 11), lit("."), base(27, 12)), lit(" ")), (1, lit(""), cat(name(5), lit("='")), cat(base(9, 13), lit("!"), digits(2, 13)), lit("'")),
-        (0, lit("commit "), lit(""), hexes(40, 20), lit(" ")), (0, lit("sha256:"), lit(""), hexes(64, 21), lit(" ")), (0, lit("md5 checksum = "), lit(""), hexes(32, 22), lit(" ")),
-        (0, lit("id "), lit(""), cat(hexes(8, 23), lit("-"), hexes(4, 24), lit("-"), hexes(4, 25), lit("-"), hexes(4, 26), lit("-"), hexes(12, 27)), lit(" ")), (0, lit("see "), lit(""), cat(lit("/home/user"), digits(2, 28), lit("/lib/data/"), hexes(8, 28), lit(".json")), lit(" ")),
-        (0, lit("https://www.example.com/static/"), lit(""), cat(hexes(16, 29), lit("-main-"), digits(6, 29), lit(".html")), lit(" ")), (0, lit("set "), cat(name(6), lit(" = ")), lit("your-token-here"), lit(" ")), (0, lit(""), cat(name(7), lit(": ")), lit("<insert_password>"), lit(" ")),
-        (0, lit(""), cat(name(8), lit("=")), lit("xxxxxxxxxxxxxxxx"), lit(" ")), (0, lit("for example "), cat(name(9), lit('="')), lit("changeme123"), lit('"')), (0, lit("the "), lit(""), cat(lit("release-version-"), digits(4, 30), lit("-build")), lit(" ")),
-        (0, lit("mail "), lit(""), cat(word(31), lit("."), digits(2, 31), lit("_mail"), digits(1, 32), lit(".example.com")), lit(" ")), (0, lit(""), cat(name(10), lit(": ")), cat(word(33), word(34), word(35)), lit(" ")), (0, lit("call "), cat(name(11), lit("=")), cat(lit("request.session."), word(36), lit("_value")), lit(" ")),
-        (0, lit("order "), lit(""), cat(lit("INV-"), digits(12, 37), lit("-"), digits(6, 38), lit("-A")), lit(" ")), (0, lit("etag "), lit(""), hexes(40, 39), lit(" ")), (0, lit("by "), lit(""), cat(lit("thread_worker_"), digits(2, 40), lit("_main_module")), lit(" ")),
-    ]
-    form = F.pmod(i, F.lit(len(forms)))
-    pick = lambda k: reduce(lambda rest, f: F.when(form == f[0], f[1][k] if k else F.lit(f[1][0])).otherwise(rest), enumerate(forms), F.lit(None))
-    lead = F.concat(word(50), F.lit(" "), word(51), F.lit(" "))
-    made = spark.range(rows).select(pick(0).cast("double").alias("label"), F.concat(lead, pick(1)).alias("before"), pick(2).alias("named"), pick(3).alias("raw"), pick(4).alias("after"))
+    forms = F.array(*[
+        F.struct(F.lit(float(label)).alias("label"), *[_parts(x, 100 * k + 20 * j).alias(name) for j, (name, x) in enumerate(zip(("before", "named", "raw", "after"), texts))])
+        for k, (label, *texts) in enumerate(_FORMS)
+    ])
+    table = spark.range(1).select(F.posexplode(forms).alias("form", "f"))
+    made = spark.range(rows).join(F.broadcast(table), F.pmod("id", F.lit(len(_FORMS))) == F.col("form"))  # as many rows as there are forms
+    lead = _parts("{w} {w} ", 9000)
+    made = made.select(F.col("f.label").alias("label"), F.concat(_fill(lead, F.col("id")), _fill(F.col("f.before"), F.col("id"))).alias("before"), *[_fill(F.col(f"f.{c}"), F.col("id")).alias(c) for c in ("named", "raw", "after")])
     shout = F.pmod(F.xxhash64("before", "raw"), F.lit(6)) == 0
     up = lambda c: F.when(shout, F.upper(c)).otherwise(F.col(c))
     made = made.select("label", up("before").alias("before"), up("named").alias("named"), up("raw").alias("secret"), "after")
     return made.select("label", "secret", F.concat("named", "secret").alias("found"), "before", F.concat("after", F.lit("and on")).alias("after"))
 
 
+_MODELS: dict[tuple, object] = {}
+
+
 def train(spark: SparkSession, rows: int = FINDINGS, trees: int = TREES, depth: int = DEPTH):
-    found = features(labelled_findings(spark, rows))
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(found).select("x", "label").coalesce(2)
-    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED, probabilityCol="p", rawPredictionCol="raw", predictionCol="y").fit(assembled)
+    """The forest. Its findings are always the same, so an application trains it once."""
+    key = (spark.sparkContext.applicationId, rows, trees, depth)
+    if key not in _MODELS:
+        found = features(labelled_findings(spark, rows))
+        assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(found).select("x", "label").coalesce(2)
+        _MODELS[key] = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED, probabilityCol="p", rawPredictionCol="raw", predictionCol="y").fit(assembled)
+    return _MODELS[key]
+
+
+#: Noncharacters that mark where candidates begin and end; a text that holds one of a pair gets the other pair.
+_MARKS = (("﷐", "﷑"), ("﷒", "﷓"))
+
+
+def _cut(text: Column) -> Column:
+    """The text cut at its candidates: what is before the first, then (found, rest) per candidate; null for null."""
+    first = ~text.rlike("[" + "".join(_MARKS[0]) + "]")
+
+    def cut(t, a, b):
+        pieces = F.split(F.regexp_replace(t, f"({PATTERN})", f"{a}$1{b}"), a)
+        return F.transform(pieces, lambda x, k: F.struct(F.when(k > 0, F.substring_index(x, b, 1)).otherwise(F.lit("")).alias("found"), F.when(k > 0, F.substr(x, F.instr(x, F.lit(b)) + 1)).otherwise(x).alias("rest")))
+
+    (a, b), (c, d) = _MARKS
+    return F.when(first, cut(text, a, b)).otherwise(cut(F.translate(text, c + d, "  "), c, d))
+
+
+def _candidates(cut: DataFrame, *kept: str) -> DataFrame:
+    """cut (_row, _cut, kept) with a row per candidate: kept, place k, start, secret, found, rest, before, after."""
+    each = cut.select("_row", *kept, "_cut", F.posexplode("_cut").alias("k", "c"))
+    n = F.length("c.found") + F.length("c.rest")
+    at = lambda step: F.coalesce(F.get(F.col("_cut"), F.col("k") + step), F.struct(F.lit("").alias("found"), F.lit("").alias("rest")))
+    lead = F.concat(at(-2)["found"], at(-2)["rest"], at(-1)["found"], at(-1)["rest"])
+    tail = F.concat(F.col("c.rest"), at(1)["found"], at(1)["rest"])
+    placed = each.select("_row", *kept, "k", F.col("c.found").alias("found"), F.col("c.rest").alias("rest"), F.right(lead, F.lit(CONTEXT)).alias("before"), F.left(tail, F.lit(CONTEXT)).alias("after"), n.alias("n"))
+    secret = F.regexp_replace("found", _VALUE, "")
+    placed = placed.withColumn("at", F.coalesce(F.sum("n").over(Window.partitionBy("_row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.withColumn("secret", secret).withColumn("start", F.col("at") + F.length("found") - F.length("secret")).drop("n", "at")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, secret, start, found, before, after), each secret of a row once, start: its first place, from 0."""
-    text = F.col("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.select("doc_id", "text", F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("all")).where(F.size("all") > 0)
-
-    def describe(x):
-        secret = F.regexp_replace(x, _VALUE, "")
-        start = F.instr(text, x) + F.length(x) - F.length(secret) - 1
-        lead = F.instr(text, x) - 1
-        return F.struct(
-            secret.alias("secret"), start.alias("start"), x.alias("found"),
-            text.substr(F.greatest(lead - CONTEXT, F.lit(0)) + 1, F.least(lead, F.lit(CONTEXT))).alias("before"),
-            text.substr(start + F.length(secret) + 1, F.lit(CONTEXT)).alias("after"),
-        )
+    """(doc_id, secret, start, found, before, after) of every place of a candidate, start from 0.
 
-    each = found.select("doc_id", F.explode(F.transform("all", describe)).alias("c")).select("doc_id", "c.*")
-    return each.where(F.length("secret") >= 6)
+    before and after hold up to CONTEXT characters, as far as the neighbouring candidates' surroundings reach.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), _cut(F.col(text_col)).alias("_cut")).where(F.size("_cut") > 1)
+    return _candidates(rows, "doc_id").where((F.col("k") > 0) & (F.length("secret") >= 6)).select("doc_id", "secret", "start", "found", "before", "after", "_row", "k")
+
+
+def _scored(found: DataFrame, keep: float, model) -> DataFrame:
+    """found with score and is_secret, which all places of one string in a row share."""
+    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(features(found)))
+    scored = scored.withColumn("score", vector_to_array("p")[1])
+    return scored.withColumn("is_secret", F.max(F.col("score") >= keep).over(Window.partitionBy("_row", "secret")))
 
 
 def scan(docs: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", model=None) -> DataFrame:
-    """(doc_id, start, length, secret, score, is_secret) per distinct candidate of each row of docs.
+    """(doc_id, start, length, secret, score, is_secret) of every place of a candidate in each row of docs.
 
-    score is the forest's share for a real secret. Null, empty and clean texts give no rows; repeated rows and null
-    ids are scanned like any other; an empty table gives no rows; other columns are ignored. Candidates run to their
-    natural end, however long.
+    score is the forest's share for a real secret at this place; a string that is a secret at one place of a row is one
+    at its others too. Null, empty and clean texts give no rows; repeated rows and null ids are scanned like any other;
+    an empty table gives no rows; other columns are ignored. Candidates run to their natural end, however long.
     """
-    model = model or train(docs.sparkSession)
-    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(features(candidates(docs, id_col, text_col))))
-    score = vector_to_array("p")[1]
-    return scored.select("doc_id", "start", F.length("secret").alias("length"), "secret", score.alias("score"), (score >= keep).alias("is_secret"))
+    scored = _scored(candidates(docs, id_col, text_col), keep, model or train(docs.sparkSession))
+    return scored.select("doc_id", "start", F.length("secret").alias("length"), "secret", "score", "is_secret")
 
 
-def redact(docs: DataFrame, keep: float = KEEP, mask: str = MASK, id_col: str = "doc_id", text_col: str = "text", model=None) -> DataFrame:
-    """docs, same rows and columns, with each secret in the text replaced by mask; null ids are redacted too."""
+def redact(docs: DataFrame, keep: float = KEEP, mask: str = MASK, text_col: str = "text", model=None) -> DataFrame:
+    """docs, same rows and columns, with each secret in the text replaced by mask.
+
+    Rows are masked by themselves, so null and repeated ids and repeated rows are no matter; null and empty texts stay,
+    an empty table gives no rows, other columns may have any names. Only rows with candidates are shuffled.
+    """
     model = model or train(docs.sparkSession)
-    found = scan(docs, keep, id_col, text_col, model).where("is_secret").select("doc_id", "secret").distinct()
-    # one row per document: a document's own secrets, longest first, so that parts of others come last
-    own = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")), asc=False).alias("_secrets")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(own, docs[id_col].cast("long").eqNullSafe(own["_doc"]), "left")
-    clean = F.aggregate("_secrets", F.col(text_col), lambda t, s: F.replace(t, s["secret"], F.lit(mask)))
-    return joined.select(*[F.when(F.col("_secrets").isNull(), docs[c]).otherwise(clean).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    names = [f"_c{k}" for k in range(len(docs.columns))]  # the columns of docs may have any names
+    text = names[docs.columns.index(text_col)]
+    cut = docs.toDF(*names).withColumn("_cut", _cut(F.col(text)))
+    table = materialize(cut.select(*[F.when((F.size("_cut") <= 1) | F.col("_cut").isNull(), F.col(c)).alias(c) if c == text else F.col(c) for c in names], F.when(F.size("_cut") > 1, F.col("_cut")).alias("_cut"), F.monotonically_increasing_id().alias("_row")), "cut")
+    clean, held = table.where("_cut is null"), table.where("_cut is not null")
+    each = _candidates(held)
+    scored = _scored(each.where((F.col("k") > 0) & (F.length("secret") >= 6)), keep, model).where("is_secret").select("_row", "k", F.lit(True).alias("hit"))
+    parts = each.select("_row", "k", "found", "secret", "rest").join(scored, ["_row", "k"], "left")
+    named = F.expr("left(found, length(found) - length(secret))")
+    shown = F.concat(F.when(F.col("hit"), F.concat(named, F.lit(mask))).otherwise(F.col("found")), F.col("rest"))
+    texts = parts.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("k", shown.alias("s")))).alias("all")).select("_row", F.concat_ws("", F.transform("all", lambda x: x["s"])).alias("_masked"))
+    masked = held.drop("_cut").join(texts, "_row").select(*[F.col("_masked").alias(c) if c == text else F.col(c) for c in names])
+    return clean.select(*names).union(masked).toDF(*docs.columns)
