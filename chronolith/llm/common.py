@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,14 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 ASCII_SPACE = r"\x20\x09-\x0D"
+#: Rows and bytes of an Arrow batch that are worked on at a time.
+PART_ROWS, PART_BYTES = 1000, 4 << 20
 _local_dir: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Unset it is an error, but in local mode, where a temporary folder serves."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="corpus-"))
     return "file://" + _local_dir[0]
@@ -41,40 +47,62 @@ def _remove_all(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors.
 
-    The table is removed when the driver's process ends, or earlier through discard().
+    The table is removed when the driver's process ends, or earlier through discard() and discard_since().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
-    atexit.register(_remove_all, spark, path)
+    if not _made:
+        atexit.register(lambda: [_remove_all(SparkSession.getActiveSession() or spark, p) for p in _made])
+    _made.append(path)
     return out
 
 
+def mark() -> int:
+    """The place in the list of tables, for discard_since()."""
+    return len(_made)
+
+
+def discard_since(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Removes the tables that materialize() wrote since mark(), but for those kept: what a finished stage leaves behind."""
+    held = {df._table_path for df in kept}
+    for path in [p for p in _made[since:] if p not in held]:
+        remove(spark, path)
+        _made.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table of materialize() that no later plan reads."""
     remove(df.sparkSession, df._table_path)
+    _made.remove(df._table_path)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """mapInArrow with one function per task, so caches live for a task and no longer."""
+    """mapInArrow with one function per task, so caches live for a task and no longer.
+
+    A batch is worked on in parts of PART_ROWS rows and about PART_BYTES, so that results stay small beside long texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
-            if batch.num_rows:
-                yield one(batch)
+            n = batch.num_rows
+            step = max(1, min(PART_ROWS, PART_BYTES * n // max(batch.nbytes, 1)))
+            for at in range(0, n, step):
+                yield one(batch.slice(at, step))
 
     return df.mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (src, dst): component is the smallest node reachable.
 
     Alternates large-star and small-star joins, each round a table in the shared folder; neither links nor
     components reach the driver, which only compares a count and a checksum. Stars of hot nodes are minima and
-    joins that combine before they shuffle. Self-links and null ends are ignored; no edges give no rows.
+    joins that combine before they shuffle. Every round that changes a link lowers an end, so the rounds end, after
+    about log squared of the longest chain. Self-links and null ends are ignored; no edges give no rows.
     """
     e = (
         edges.where("src is not null and dst is not null and src <> dst")
@@ -82,11 +110,11 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
         .distinct()
     )
     e, last = materialize(e, "cc"), None
-    for _ in range(limit):
-        mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == last or mark[0] == 0:
+    while True:
+        sign = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if sign == last or sign[0] == 0:
             break
-        last = mark
+        last = sign
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -101,8 +129,6 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
         step = materialize(step, "cc")
         discard(e)
         e = step
-    else:
-        raise RuntimeError(f"components have not settled in {limit} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

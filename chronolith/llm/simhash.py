@@ -1,12 +1,14 @@
 """Near-duplicate texts by 64-bit SimHash: byte-position inverted index, count filter, verification.
 
-Two fingerprints that differ in at most two bits differ in at most two of their eight bytes, so they share at
-least six positional bytes. The index therefore lists fingerprints under every choice of six positional bytes
-(28 lists per distinct fingerprint). A list fixes 48 bits, so it holds at most 65,536 distinct fingerprints
-whatever the size of the corpus or of a group of copies; copies meet in one fingerprint before they are listed.
-Inside a list the positional bytes that pairs share are tallied, pairs below six are dropped, and the rest are
-verified by Hamming distance. A list returns a spanning forest of its links, which connects the same documents
-as all its pairs would.
+Two fingerprints that differ in at most two bits differ in at most two of their eight bytes, so they share at least
+six positional bytes. The index lists fingerprints under six choices of four positional bytes, chosen so that any six
+bytes hold one of the choices whole (a covering design). Pairs of a list therefore share four to eight positional
+bytes; these are tallied, pairs below six are dropped, and the rest are verified by Hamming distance. A list returns a
+spanning forest of its links, which connects the same documents as all its pairs would.
+
+Copies meet in one fingerprint before they are listed. A list that is longer than LIST_ROWS is listed anew under its
+own four bytes and every choice of two of the others, which pairs that share six bytes have in common; such a list has
+six bytes in common, thus 65,536 distinct fingerprints at most, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -21,12 +23,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from chronolith.llm.common import connected_components, map_rows, materialize
-
-_KEPT = [sum(0xFF << (8 * p) for p in kept) for kept in combinations(range(8), 6)]
+from chronolith.llm.common import connected_components, discard_since, map_rows, mark, materialize
+
+#: Byte positions of the lists: each two positions lie outside one of them.
+_FOURS = [tuple(sorted(set(range(8)) - set(out))) for out in ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (2, 3, 4, 5), (2, 3, 6, 7), (4, 5, 6, 7))]
+_mask = lambda at: sum(0xFF << (8 * p) for p in at)
+#: Masks of the lists, and under each the masks of its finer ones.
+_KEPT = [_mask(at) for at in _FOURS]
+_FINER = [[_mask(at + two) for two in combinations(sorted(set(range(8)) - set(at)), 2)] for at in _FOURS]
+#: Fingerprints of a list that is not listed anew, and classes of a list whose shingle isn't put last.
+LIST_ROWS, HOT_ROWS = 2048, 512
+#: Pairs that a task compares at a time.
+PAIRS = 300_000
+#: Positional bytes by which pairs of texts are tallied, and how many similar ones share: of Jaccard similarity 0.8 they
+#: share 51 on average, standard deviation 3.2.
+BYTES, SHARED_BYTES = 64, 36
 _SEED = 42
-#: Bits that texts of similarity 0.8 may differ in (9.7 on average, standard deviation 2.9), and the shingles from which that holds.
-WIDE, FEW = 22, 64
+#: Bits that texts of similarity 0.8 may differ in (9.7 on average, standard deviation 2.9), and the shingles from which that
+#: holds: of 4,000 random pairs of 12 to 64 shingles at the similarity, one in 32,000 differed in more.
+WIDE, FEW = 22, 12
 
 
 def hashes(text: str | None, width: int) -> np.ndarray:
@@ -66,26 +81,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(rows, make, "doc_id long, fp long")
 
 
-def forest(fps: np.ndarray, free: np.uint64, bits: int) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, free: int, bits: int) -> list[tuple[int, int]]:
     """(fingerprint, smallest of its list's component) for each linked one of a list that agrees outside free."""
     fps = np.sort(fps.astype(np.uint64))
     n = len(fps)
-    if n <= 256:
-        x = fps[:, None] ^ fps[None, :]
-        shared = (x[:, :, None].view(np.uint8).reshape(n, n, 8) == 0).sum(axis=2)  # the tally
-        i, j = np.nonzero((shared >= 6) & (np.bitwise_count(x) <= bits))
-        keep = i < j
-        i, j = i[keep], j[keep]
-    else:  # a crowded list: look each neighbour up instead of comparing pairs
-        places = [np.uint64(1 << b) for b in range(64) if int(free) >> b & 1]
-        masks = [m for k in range(1, bits + 1) for c in combinations(places, k) for m in [np.bitwise_or.reduce(c)]]
-        found = []
-        for m in masks:
+    found = []
+    if free.bit_count() > 16:
+        for at in range(0, n, 256):
+            x = fps[at : at + 256, None] ^ fps[None, :]
+            shared = (x[:, :, None].view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2)  # the tally
+            i, j = np.nonzero(shared >= 6)
+            i, j, near = i + at, j, np.bitwise_count(x[i, j]) <= bits
+            keep = near & (i < j)
+            found.append(np.stack([i[keep], j[keep]]))
+    else:  # six bytes agree, which settles the tally: the neighbours in the other two are looked up
+        places = [np.uint64(1 << b) for b in range(64) if free >> b & 1]
+        for m in [np.bitwise_or.reduce(c) for k in range(1, bits + 1) for c in combinations(places, k)]:
             to = fps ^ m
             at = np.minimum(np.searchsorted(fps, to), n - 1)
             hit = np.nonzero((fps[at] == to) & (to > fps))[0]
             found.append(np.stack([hit, at[hit]]))
-        i, j = np.concatenate(found, axis=1)
+    i, j = np.concatenate(found, axis=1)
     root = np.arange(n)
     while True:
         before = root.copy()
@@ -98,25 +114,35 @@ def forest(fps: np.ndarray, free: np.uint64, bits: int) -> list[tuple[int, int]]
     return [(int(fps[k]), int(fps[root[k]])) for k in np.nonzero(root != np.arange(n))[0]]
 
 
-def links(fps: DataFrame, bits: int = 2) -> DataFrame:
+def links(fps: DataFrame, bits: int = 2, list_rows: int = LIST_ROWS) -> DataFrame:
     """(src, dst) between distinct fingerprints (column fp): a spanning forest of all links of at most bits bits."""
     if not 0 <= bits <= 2:
         raise ValueError("six shared bytes guarantee links of at most 2 bits")
-    posted = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")) for m in _KEPT])).alias("kept", "key"))
-    lists = posted.groupBy("kept", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    signed = lambda m: F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")
+    post = lambda masks: F.posexplode(F.array(*[F.col("fp").bitwiseAND(signed(m)) for m in masks])).alias("kept", "key")
+    posted = fps.select("fp").repartition("fp").select("fp", post(_KEPT))
+    size = posted.groupBy("kept", "key").agg(F.count("*").alias("rows")).where("rows > 1")
+    held = posted.join(size, ["kept", "key"])
+    mask = F.lit(None).cast("long")
+    for k, m in enumerate(_KEPT):
+        mask = F.when(F.col("kept") == k, signed(m)).otherwise(mask)
+    short = held.where(F.col("rows") <= list_rows).select(mask.alias("mask"), "key", "fp")
+    finer = F.array(*[F.array(*[signed(m) for m in masks]) for masks in _FINER])
+    long = held.where(F.col("rows") > list_rows).select("fp", F.explode(F.element_at(finer, F.col("kept") + 1)).alias("mask"))
+    long = long.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct()
+    lists = short.union(long).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for kept, members in zip(batch.column(0).to_pylist(), batch.column(1)):
-                free = np.uint64(~_KEPT[kept] & (1 << 64) - 1)
-                out += forest(members.values.to_numpy().view(np.uint64), free, bits)
+                out += forest(members.values.to_numpy().view(np.uint64), ~kept & (1 << 64) - 1, bits)
             pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
         return one
 
-    return map_rows(lists.select("kept", "fps"), make, "src long, dst long").distinct()
+    return map_rows(lists.select("mask", "fps"), make, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
@@ -136,6 +162,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _prefix(n: int, similarity: float) -> int:
+    """So many of n shingles that two similar sets have one of them in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+_ODD = np.random.default_rng(64).integers(1 << 62, 1 << 63, BYTES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def positional(h: np.ndarray) -> np.ndarray:
+    """BYTES positional bytes of a set of hashes, each of one min-hash: two sets share as many as they are similar."""
+    least = np.full(BYTES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        x = h[at : at + 4096, None] * _ODD
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+    return (least >> np.uint64(8)).astype(np.uint8)
+
+
 def signed(docs: DataFrame, similarity: float, width: int, text_col: str = "text") -> DataFrame:
     """docs with _class (of its set of shingles), _n (their number), _fp (their SimHash) and _prefix.
 
@@ -148,7 +191,7 @@ def signed(docs: DataFrame, similarity: float, width: int, text_col: str = "text
             found = []
             for x in batch.column(batch.schema.get_field_index(text_col)):
                 h = np.unique(hashes(x.as_py(), width))
-                prefix = h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                prefix = h[: _prefix(len(h), similarity)]
                 found.append((xxhash.xxh64_intdigest(h.tobytes(), _SEED), len(h), majority(h), prefix.tobytes()))
             cls, n, fp, prefix = zip(*found)
             made = [pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(prefix, pa.binary())]
@@ -160,11 +203,11 @@ def signed(docs: DataFrame, similarity: float, width: int, text_col: str = "text
     return map_rows(docs, make, schema)
 
 
-def meetings(size: np.ndarray, cls: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.ndarray, similarity: float, bits: int) -> np.ndarray:
+def meetings(size: np.ndarray, cls: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.ndarray, side: np.ndarray, similarity: float, bits: int) -> np.ndarray:
     """(lesser, greater) classes that may be similar, of lists of these sizes, one after the other.
 
-    n: shingles of a class, at: place of the list's shingle among them. What the sizes and places rule out goes, and
-    of classes of at least FEW shingles what the SimHash does.
+    n: shingles of a class, at: place of the list's shingle among them, side: pairs of one side don't count unless it is
+    -1. What the sizes and places rule out goes, and of classes of at least FEW shingles what the SimHash does.
     """
     left = np.repeat(np.cumsum(size), size) - np.arange(len(cls))  # members of the list from here on
     out, apart, start = [], 1, np.arange(len(cls))
@@ -174,7 +217,7 @@ def meetings(size: np.ndarray, cls: np.ndarray, n: np.ndarray, at: np.ndarray, f
             break
         i, j = start, start + apart
         least = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
-        keep = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= least
+        keep = (np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & ((side[i] < 0) | (side[i] != side[j]))
         i, j = i[keep], j[keep]
         near = (np.minimum(n[i], n[j]) < FEW) | (np.bitwise_count(fp[i] ^ fp[j]) <= bits)
         out.append(np.stack([np.minimum(cls[i], cls[j])[near], np.maximum(cls[i], cls[j])[near]], axis=1))
@@ -182,9 +225,8 @@ def meetings(size: np.ndarray, cls: np.ndarray, n: np.ndarray, at: np.ndarray, f
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def similar(rows: DataFrame, similarity: float, width: int, bits: int, text_col: str = "text") -> DataFrame:
-    """(src, dst): the pairs of classes of rows, a table of signed(), whose sets of shingles are similar."""
-    classes = rows.where("_n > 0").select("_class", "_n", "_fp", "_prefix").dropDuplicates(["_class"])
+def postings(classes: DataFrame) -> DataFrame:
+    """(h, at, cls, n, fp) per shingle of each class's prefix (columns cls, n, fp, prefix)."""
 
     def post():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -195,55 +237,197 @@ def similar(rows: DataFrame, similarity: float, width: int, bits: int, text_col:
 
         return one
 
-    posted = map_rows(classes, post, "h long, at int, cls long, n int, fp long")
-    lists = posted.groupBy("h").agg(F.collect_list(F.struct("cls", "n", "at", "fp")).alias("m")).where(F.size("m") > 1).select("m")
+    return map_rows(classes.select("cls", "n", "fp", "prefix"), post, "h long, at int, cls long, n int, fp long")
+
+
+def stream_meetings(posted: DataFrame, similarity: float, bits: int, list_rows: int) -> DataFrame:
+    """(src, dst) of meetings() in all lists of posted up to list_rows; of a longer list only its shingle, as (h, null)."""
+
+    def run(batches):
+        none = np.zeros((5, 0), np.int64)
+        held, long = none, None
+
+        def finish(m: np.ndarray):
+            """Pairs and long lists of whole runs of one h each."""
+            starts = np.flatnonzero(np.r_[True, np.diff(m[0]) != 0])
+            size = np.diff(np.r_[starts, m.shape[1]])
+            over, keep = m[0, starts[size > list_rows]], np.repeat((size > 1) & (size <= list_rows), size)
+            _, at, cls, n, fp = m[:, keep]
+            pairs = meetings(size[(size > 1) & (size <= list_rows)], cls, n, at, fp.view(np.uint64), np.full(len(cls), -1), similarity, bits)
+            return np.concatenate([pairs[:, 0], over]), np.ma.array(np.concatenate([pairs[:, 1], over]), mask=np.arange(len(pairs) + len(over)) >= len(pairs))
+
+        def table(src, dst):
+            return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst.data, mask=np.ma.getmaskarray(dst))], ["src", "dst"])
+
+        for batch in batches:
+            m = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            if long is not None:  # the rest of a list that is known to be long
+                m = m[:, m[0] != long]
+            if not m.shape[1]:
+                continue
+            m = np.concatenate([held, m], axis=1)
+            last = int(np.searchsorted(m[0], m[0, -1]))
+            if last:
+                yield table(*finish(np.ascontiguousarray(m[:, :last])))
+            held, long = m[:, last:], None
+            if held.shape[1] > list_rows:
+                long = int(held[0, 0])
+                yield table(*finish(held))
+                held = none
+        if held.shape[1]:
+            yield table(*finish(np.ascontiguousarray(held)))
+
+    return posted.select("h", "at", "cls", "n", "fp").repartition("h").sortWithinPartitions("h").mapInArrow(run, "src long, dst long")
+
+
+def block_meetings(posted: DataFrame, similarity: float, bits: int, list_rows: int) -> DataFrame:
+    """(src, dst) of meetings() in the lists of posted, block by block, so that a group holds two blocks of list_rows at most."""
+    size = posted.groupBy("h").agg(F.count("*").alias("rows"))
+    held = posted.join(size, "h").withColumn("blocks", F.ceil(F.col("rows") / list_rows).cast("int"))
+    held = held.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("b") == F.col("o"), F.lit(-1)).otherwise(F.col("b"))
+    placed = held.select("h", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.struct("cls", "n", "at", "fp", side.alias("side")).alias("m"))
+    lists = placed.groupBy("h", "lo", "hi").agg(F.collect_list("m").alias("m")).where(F.size("m") > 1).select("m")
 
     def meet():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             size, m = np.diff(batch.column(0).offsets.to_numpy()), batch.column(0).flatten()
-            cls, n, at, fp = (m.field(k).to_numpy() for k in range(4))
-            pairs = meetings(size, cls, n.astype(np.int64), at.astype(np.int64), fp.view(np.uint64), similarity, bits)
+            cls, n, at, fp, side = (m.field(k).to_numpy() for k in range(5))
+            ends, found = np.cumsum(size), [np.zeros((0, 2), np.int64)]
+            # lists of PAIRS pairs at a time, or a single one
+            turn = np.cumsum(size.astype(np.int64) ** 2 // 2) // PAIRS
+            for k in np.unique(turn):
+                own = turn == k
+                rows = slice(ends[own][0] - size[own][0], ends[own][-1])
+                found.append(meetings(size[own], cls[rows], n[rows].astype(np.int64), at[rows].astype(np.int64), fp[rows].view(np.uint64), side[rows], similarity, bits))
+            pairs = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
         return one
 
-    met = materialize(map_rows(lists, meet, "src long, dst long").distinct(), "near")
-    nodes = met.select(F.col("src").alias("_class")).union(met.select(F.col("dst").alias("_class"))).distinct()
+    return map_rows(lists, meet, "src long, dst long")
+
+
+#: Shingles that go to every task instead of all postings to theirs.
+BROADCAST_SHINGLES = 500_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_SHINGLES else df
+
+
+def candidates(rows: DataFrame, similarity: float, width: int, bits: int, text_col: str, list_rows: int) -> DataFrame:
+    """(src, dst): pairs of classes that meet in a list.
+
+    A shingle that more than list_rows classes have in their prefix is put last in everyone's order: its list is left
+    out, and the classes that have it there take rarer ones into their prefix, with which they meet everyone else's.
+    What is a long list even then is compared block by block.
+    """
+    classes = rows.where("_n > 0").select(F.col("_class").alias("cls"), F.col("_n").alias("n"), F.col("_fp").alias("fp"), F.col("_prefix").alias("prefix")).dropDuplicates(["cls"])
+    classes = materialize(classes, "classes")
+    met = materialize(stream_meetings(postings(classes), similarity, bits, list_rows).distinct(), "met")
+    pairs, hot = met.where("dst is not null"), met.where("dst is null").select(F.col("src").alias("h")).distinct()
+    if hot.isEmpty():
+        return pairs
+    posted = postings(classes)
+    touched = materialize(posted.join(_few(hot), "h", "left_semi").select("cls").distinct(), "touched")
+    texts = materialize(rows.select(F.col("_class").alias("cls"), "_n", "_fp", F.col(text_col).alias("text")).join(_few(touched), "cls").dropDuplicates(["cls"]), "crowded")
+
+    def spell():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique(hashes(x.as_py(), width)).view(np.int64) for x in batch.column(1)]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["cls", "h"])
+
+        return one
+
+    own = map_rows(texts.select("cls", "text"), spell, "cls long, h long").join(_few(hot), "h", "left_semi").groupBy("cls").agg(F.collect_list("h").alias("hot"))
+
+    def more():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = [np.zeros((4, 0), np.int64)]
+            for cls, n, fp, text, last in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4).to_pylist()):
+                h = np.unique(hashes(text.as_py(), width))
+                late = np.isin(h.view(np.int64), np.array(last, np.int64))
+                first = _prefix(len(h), similarity)
+                new = np.setdiff1d(np.concatenate([h[~late], h[late]])[:first], h[:first][~late[:first]]).view(np.int64)
+                out.append(np.stack([new, np.full(len(new), cls), np.full(len(new), n), np.full(len(new), fp)]))
+            h, cls, n, fp = np.concatenate(out, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.zeros(len(h), np.int32)), pa.array(cls), pa.array(n.astype(np.int32)), pa.array(fp)], ["h", "at", "cls", "n", "fp"])
+
+        return one
+
+    again = materialize(map_rows(texts.join(own, "cls").select("cls", "_n", "_fp", "text", "hot"), more, "h long, at int, cls long, n int, fp long"), "rarer")
+    keys = materialize(again.select("h").distinct().join(_few(hot), "h", "left_anti"), "rarer-keys")
+    # places of the two orders don't compare, so they don't count here
+    both = again.union(posted.join(_few(keys), "h", "left_semi").select("h", F.lit(0).alias("at"), "cls", "n", "fp"))
+    both = materialize(both, "rarer-lists")
+    second = materialize(stream_meetings(both, similarity, bits, list_rows).distinct(), "met")
+    long = second.where("dst is null").select(F.col("src").alias("h")).distinct()
+    pairs = pairs.union(second.where("dst is not null"))
+    if not long.isEmpty():
+        pairs = pairs.union(block_meetings(both.join(_few(long), "h", "left_semi"), similarity, bits, list_rows))
+    return pairs.where("src <> dst").distinct()
+
+
+def similar(rows: DataFrame, similarity: float, width: int, bits: int, text_col: str = "text", list_rows: int = HOT_ROWS) -> DataFrame:
+    """(src, dst): the pairs of classes of rows, a table of signed(), whose sets of shingles are similar."""
+    met = materialize(candidates(rows, similarity, width, bits, text_col, list_rows), "near")
+    nodes = materialize(met.select(F.col("src").alias("_class")).union(met.select(F.col("dst").alias("_class"))).distinct(), "nodes")
 
     def spell():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.unique(hashes(x.as_py(), width)).tobytes() for x in batch.column(1)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "held"])
+            sets = [np.unique(hashes(x.as_py(), width)) for x in batch.column(1)]
+            held = pa.array([np.unique(x.astype(np.uint32)).tobytes() for x in sets], pa.binary())
+            return pa.RecordBatch.from_arrays([batch.column(0), held, pa.array([positional(x).tobytes() for x in sets], pa.binary())], ["cls", "held", "bytes"])
 
         return one
 
-    texts = rows.select("_class", text_col).join(nodes, "_class", "left_semi").dropDuplicates(["_class"])
-    sets = materialize(map_rows(texts, spell, "cls long, held binary"), "sets")
-    side = lambda k: sets.select(F.col("cls").alias(k), F.col("held").alias(f"_{k}"))
+    texts = rows.select("_class", text_col).join(_few(nodes), "_class", "left_semi").dropDuplicates(["_class"])
+    sets = materialize(map_rows(texts, spell, "cls long, held binary, bytes binary"), "sets")
+    side = lambda k, what: sets.select(F.col("cls").alias(k), F.col(what).alias(f"_{k}"))
+
+    def both(df: DataFrame, what: str) -> DataFrame:
+        return df.join(side("src", what), "src").join(side("dst", what), "dst").select("src", "dst", "_src", "_dst")
+
+    def tally():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BYTES) for k in (2, 3))
+            return batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= SHARED_BYTES))
+
+        return one
 
     def check():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                a, b = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
             return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
         return one
 
-    return map_rows(met.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", "_src", "_dst"), check, "src long, dst long")
+    left = materialize(map_rows(both(met, "bytes"), tally, "src long, dst long"), "tallied")
+    return map_rows(both(left, "held"), check, "src long, dst long")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = WIDE, text_col: str = "text") -> DataFrame:
-    """docs with _group: the same for rows that links of similar texts connect.
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of docs that links of similar texts connect: the least id (null last), then the first row.
 
     Texts are lower-cased (A-Z), split at ASCII white space and cut in word shingles; a link needs a Jaccard
-    similarity of their sets of at least similarity, computed on the sets themselves. Candidates share one of the
-    least shingles, which every similar pair does, and differ in at most bits bits of their SimHash. Null and blank
-    texts are alike; an empty table gives no rows.
+    similarity of their sets of at least similarity, computed on the sets themselves (32 bits of each stretch's hash).
+    Candidates share one of the least shingles, which every similar pair does, differ in at most bits bits of their
+    SimHash, and share at least SHARED_BYTES of BYTES positional bytes. Null and blank texts are alike; groups are made of texts, so rows with different texts under one id
+    stay and repeated rows leave one; other columns may have any names but those that signed() adds, and _row; an
+    empty table gives no rows.
     """
-    rows = materialize(signed(docs, similarity, width, text_col), "signed")
+    rows = materialize(signed(docs, similarity, width, text_col).withColumn("_row", F.monotonically_increasing_id()), "signed")
+    since = mark()
     found = connected_components(similar(rows, similarity, width, bits, text_col))
-    named = rows.join(found, rows["_class"] == found["node"], "left")
-    return named.select(*[rows[c] for c in docs.columns], F.coalesce("component", "_class").alias("_group"))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    ids = rows.select("_class", "_row", key.alias("key"))
+    ids = ids.join(found, ids["_class"] == found["node"], "left").select(F.coalesce("component", "_class").alias("_group"), "key")
+    first = ids.groupBy("_group").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = materialize(ids.join(first, "_group").where("key.row <> first.row").select(F.col("key.row").alias("_row")), "copies")
+    discard_since(docs.sparkSession, since, gone)
+    return rows.join(_few(gone), "_row", "left_anti").select(*docs.columns)
