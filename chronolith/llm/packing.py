@@ -97,6 +97,7 @@ class Words:
         self._clear()
 
     def _clear(self) -> None:
+        self.chars = 0
         self.kept: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
 
@@ -128,13 +129,14 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids, little-endian unsigned 32-bit."""
-        if len(self.kept) > self.most:
+        if len(self.kept) > self.most or self.chars > 50 * self.most:
             self._clear()
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         kept = self.kept
         new = [w for w in set().union(*split) if w not in kept]
         if new:
             self._encode(new)
+            self.chars += sum(map(len, new))
         return [b"".join(map(kept.__getitem__, words)) for words in split]
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import map_rows
 
-#: Words that a task remembers at most; beyond it they are scored again.
-KEPT_WORDS = 200_000
+#: Words, and characters of them, that a task remembers at most; beyond it they are scored again.
+KEPT_WORDS, KEPT_CHARS = 200_000, 16_000_000
 #: Remainder of crc32(doc_id as text) modulo FOLDS that is never learnt from.
 FOLDS, HELD_OUT = 5, 0
 
@@ -67,7 +67,7 @@ class Scorer:
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
         self.values: np.ndarray | None = None
-        self.n = 0
+        self.n = self.chars = 0
 
     def _learn(self, new: list[str]) -> None:
         got = self.score(new)
@@ -78,10 +78,11 @@ class Scorer:
         self.values[self.n : self.n + len(new)] = got
         self.at.update(zip(new, range(self.n, self.n + len(new))))
         self.n += len(new)
+        self.chars += sum(map(len, new))
 
     def sums(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Per text the values of its words, added up; None for a text without words."""
-        if self.n > self.most:
+        if self.n > self.most or self.chars > KEPT_CHARS:
             self._clear()
         split = [(x or "").split() for x in texts]
         new = [w for w in set().union(*split) if w not in self.at]
