@@ -316,38 +316,48 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_SHINGLES else df
 
 
-def candidates(rows: DataFrame, similarity: float, width: int, bits: int, text_col: str, list_rows: int) -> DataFrame:
+def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(cls, n, fp, text) of the classes wanted (cls), each from one of its rows; texts aren't shuffled where few are wanted."""
+    own = materialize(classes.select("cls", "row", "n", "fp").join(_few(wanted), "cls", "left_semi"), "wanted")
+    return rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text")).join(_few(own), "row").select("cls", "n", "fp", "text")
+
+
+def candidates(rows: DataFrame, classes: DataFrame, similarity: float, width: int, bits: int, text_col: str, list_rows: int) -> DataFrame:
     """(src, dst): pairs of classes that meet in a list.
 
     A shingle that more than list_rows classes have in their prefix is put last in everyone's order: its list is left
     out, and the classes that have it there take rarer ones into their prefix, with which they meet everyone else's.
     What is a long list even then is compared block by block.
     """
-    classes = rows.where("_n > 0").select(F.col("_class").alias("cls"), F.col("_n").alias("n"), F.col("_fp").alias("fp"), F.col("_prefix").alias("prefix")).dropDuplicates(["cls"])
-    classes = materialize(classes, "classes")
     met = materialize(stream_meetings(postings(classes), similarity, bits, list_rows).distinct(), "met")
     pairs, hot = met.where("dst is not null"), met.where("dst is null").select(F.col("src").alias("h")).distinct()
     if hot.isEmpty():
         return pairs
     posted = postings(classes)
     touched = materialize(posted.join(_few(hot), "h", "left_semi").select("cls").distinct(), "touched")
-    texts = materialize(rows.select(F.col("_class").alias("cls"), "_n", "_fp", F.col(text_col).alias("text")).join(_few(touched), "cls").dropDuplicates(["cls"]), "crowded")
+    texts = _texts(rows, classes, touched, text_col)
+    if hot.count() <= BROADCAST_SHINGLES:
+        common = np.sort(hot.toArrow().column("h").to_numpy())  # 4 MB at most
+        held = texts.withColumn("hot", F.lit(None).cast("array<long>"))
+    else:
+        common, texts = None, materialize(texts, "crowded")
 
-    def spell():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.unique(hashes(x.as_py(), width)).view(np.int64) for x in batch.column(1)]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["cls", "h"])
+        def spell():
+            def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+                sets = [np.unique(hashes(x.as_py(), width)).view(np.int64) for x in batch.column(1)]
+                return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["cls", "h"])
 
-        return one
+            return one
 
-    own = map_rows(texts.select("cls", "text"), spell, "cls long, h long").join(_few(hot), "h", "left_semi").groupBy("cls").agg(F.collect_list("h").alias("hot"))
+        own = map_rows(texts.select("cls", "text"), spell, "cls long, h long").join(hot, "h", "left_semi").groupBy("cls").agg(F.collect_list("h").alias("hot"))
+        held = texts.join(own, "cls")
 
     def more():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = [np.zeros((4, 0), np.int64)]
             for cls, n, fp, text, last in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4).to_pylist()):
                 h = np.unique(hashes(text.as_py(), width))
-                late = np.isin(h.view(np.int64), np.array(last, np.int64))
+                late = np.isin(h.view(np.int64), common if common is not None else np.array(last, np.int64))
                 first = _prefix(len(h), similarity)
                 new = np.setdiff1d(np.concatenate([h[~late], h[late]])[:first], h[:first][~late[:first]]).view(np.int64)
                 out.append(np.stack([new, np.full(len(new), cls), np.full(len(new), n), np.full(len(new), fp)]))
@@ -356,7 +366,7 @@ def candidates(rows: DataFrame, similarity: float, width: int, bits: int, text_c
 
         return one
 
-    again = materialize(map_rows(texts.join(own, "cls").select("cls", "_n", "_fp", "text", "hot"), more, "h long, at int, cls long, n int, fp long"), "rarer")
+    again = materialize(map_rows(held.select("cls", "n", "fp", "text", "hot"), more, "h long, at int, cls long, n int, fp long"), "rarer")
     keys = materialize(again.select("h").distinct().join(_few(hot), "h", "left_anti"), "rarer-keys")
     # places of the two orders don't compare, so they don't count here
     both = again.union(posted.join(_few(keys), "h", "left_semi").select("h", F.lit(0).alias("at"), "cls", "n", "fp"))
@@ -370,9 +380,12 @@ def candidates(rows: DataFrame, similarity: float, width: int, bits: int, text_c
 
 
 def similar(rows: DataFrame, similarity: float, width: int, bits: int, text_col: str = "text", list_rows: int = HOT_ROWS) -> DataFrame:
-    """(src, dst): the pairs of classes of rows, a table of signed(), whose sets of shingles are similar."""
-    met = materialize(candidates(rows, similarity, width, bits, text_col, list_rows), "near")
-    nodes = materialize(met.select(F.col("src").alias("_class")).union(met.select(F.col("dst").alias("_class"))).distinct(), "nodes")
+    """(src, dst): the pairs of classes of rows, a table of signed() with numbers _row, whose sets of shingles are similar."""
+    one = lambda c: F.first(c).alias(c[1:])
+    classes = rows.where("_n > 0").groupBy(F.col("_class").alias("cls")).agg(F.min("_row").alias("row"), one("_n"), one("_fp"), one("_prefix"))
+    classes = materialize(classes, "classes")
+    met = materialize(candidates(rows, classes, similarity, width, bits, text_col, list_rows), "near")
+    nodes = materialize(met.select(F.col("src").alias("cls")).union(met.select(F.col("dst").alias("cls"))).distinct(), "nodes")
 
     def spell():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -382,8 +395,7 @@ def similar(rows: DataFrame, similarity: float, width: int, bits: int, text_col:
 
         return one
 
-    texts = rows.select("_class", text_col).join(_few(nodes), "_class", "left_semi").dropDuplicates(["_class"])
-    sets = materialize(map_rows(texts, spell, "cls long, held binary, bytes binary"), "sets")
+    sets = materialize(map_rows(_texts(rows, classes, nodes, text_col).select("cls", "text"), spell, "cls long, held binary, bytes binary"), "sets")
     side = lambda k, what: sets.select(F.col("cls").alias(k), F.col(what).alias(f"_{k}"))
 
     def both(df: DataFrame, what: str) -> DataFrame:

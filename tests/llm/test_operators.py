@@ -250,6 +250,16 @@ def test_html_keeps_what_belongs_to_the_article():
     assert html.main_text(f"<p>1 < 2 and 3 > 2 </3 {long}").startswith("1 < 2 and 3 > 2 </3")
 
 
+def test_block_classifier_on_pages_of_another_seed():
+    right = total = 0
+    for page in html.written_pages(100, seed=77):
+        for b in html.blocks(page):
+            right += (html.cost(b) > 0) == any(w[0] == "x" for w in b.text.split())
+            total += 1
+    assert right >= 0.95 * total
+    assert html.weights() == html.weights.__wrapped__()
+
+
 def test_html_takes_linear_time():
     import time
 
@@ -383,7 +393,9 @@ def test_stage_drops_near_copies_of_similarity(spark):
     assert got == set(docs) - {k + 1 for k in near}
 
 
-def test_shingles_that_everyone_has(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_shingles_that_everyone_has(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "BROADCAST_SHINGLES", few)
     rng = random.Random(11)
     line, docs = [f"licence{i}" for i in range(12)], {}
     for k in range(40):
@@ -393,7 +405,7 @@ def test_shingles_that_everyone_has(spark):
     docs |= {200 + k: [f"x{k}", *line] for k in range(5)}
     cut = {k: {tuple(x[i : i + 5]) for i in range(len(x) - 4)} for k, x in docs.items()}
     want = components(docs, [(a, b) for a in docs for b in docs if a < b and len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b])])
-    table = simhash.signed(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string"), 0.8, 5)
+    table = simhash.signed(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string"), 0.8, 5).withColumn("_row", F.col("doc_id"))
     of = {r["doc_id"]: r["_class"] for r in rows(table)}
     for list_rows in (2048, 8, 3):  # whole lists; the line's shingles put last; blocks of lists as well
         found = {r["node"]: r["component"] for r in rows(common.connected_components(simhash.similar(table, 0.8, 5, simhash.WIDE, list_rows=list_rows)))}
@@ -495,3 +507,111 @@ def test_crowded_lists_of_windows(spark, monkeypatch, alike):
     assert {(max(p), min(p)) for p in found if min(p) >= 100} == {(101 + 2 * k, 100 + 2 * k) for k in range(20)}
     of = components(docs, found)
     assert len({of[k] for k in range(60)}) == (1 if alike else 60)
+
+
+def test_stages_take_any_columns(spark, odd):
+    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("_copy", "_h", "rate", "source_size", "cut", "whole", "score", "n", "groups", "x", "p", "found")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, D)
+        assert out.columns == clash.columns, name
+        out.count()
+    assert corpus_pipeline.pack_sequences(spark, clash, D).count() >= len(ODD)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage's output against a plain version over its own input; the last one's rows rebuilt with the tokenizer."""
+    rng = random.Random(13)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "to", "su", "vi") for c in ("n", "l", "s", "")]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    docs, labels = [], []
+    for k in range(240):
+        good = k % 6 != 0
+        body = text(rng.choice((30, 80, 400))) if good else [rng.choice(words)] * rng.choice((30, 80))
+        if good and k % 11 == 1:
+            body[5:5] = f'token = "{rng.getrandbits(160):040x}"'.split()
+        docs.append((k, " ".join(body), "en", rng.choice(("a", "a", "b", None)), 1))
+        labels.append((k, int(good), 0))
+        if good and k % 7 == 2:
+            near = list(body)
+            near[len(near) // 2] = "changed"
+            docs.append((1000 + k, " ".join(near), "en", "b", 1))
+    table = spark.createDataFrame(docs, DOCS)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, sf = table, str(tmp_path)
+    after = []
+    for name, stage in corpus_pipeline.STAGES:
+        now = common.materialize(stage(spark, now, sf), "stage")
+        after.append(rows(now))
+    whole = {r["doc_id"]: r for r in rows(table)}
+    known = {k: y for k, y, _ in labels}
+    learnt = [(k, quality._bag(whole[k]["text"]), y) for k, y in sorted(known.items()) if zlib.crc32(str(k).encode()) % 5]
+    weights, bias = quality.train(learnt)
+
+    def accepted(t):
+        ids, times = quality._document(t)
+        return 1 / (1 + np.exp(-((times @ weights[ids] / times.sum() if len(ids) else 0) + bias))) >= quality.THRESHOLD
+
+    assert {r["doc_id"] for r in after[0]} == {k for k, r in whole.items() if accepted(r["text"])}
+    assert sum(known.get(r["doc_id"], 1) for r in after[0]) >= 0.95 * len(after[0])
+    cut = {r["doc_id"]: {tuple(w[i : i + 5]) for w in [r["text"].lower().split()] for i in range(len(w) - 4)} for r in after[0]}
+    of = components(cut, [(a, b) for a in cut for b in cut if a < b and len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b])])
+    assert {r["doc_id"] for r in after[1]} == set(of.values())
+    plain = {r["doc_id"]: re.sub(r'token = "[0-9a-f]{40}"', f'token = "{secrets.MASK}"', r["text"]) for r in after[1]}
+    assert {r["doc_id"]: r["text"] for r in after[2]} == plain
+    sizes, taken = Counter(), Counter()
+    copies = Counter(r["doc_id"] for r in after[3])
+    for r in after[2]:
+        sizes[r["source"]] += len(r["text"].split())
+        taken[r["source"]] += copies[r["doc_id"]] * len(r["text"].split())
+    assert max(copies.values()) <= 2 and set(sizes) == {"a", "b", None}
+    total = 1.5 * sum(sizes.values())
+    target, free = {}, {"a": 3, "b": 1, None: 2}
+    while over := [s for s in free if (total - sum(target.values())) * free[s] / sum(free.values()) > 2 * sizes[s]]:
+        target |= {s: 2 * sizes[s] for s in over}
+        free = {s: w for s, w in free.items() if s not in over}
+    left = total - sum(target.values())
+    target |= {s: left * w / sum(free.values()) for s, w in free.items()}
+    assert all(abs(taken[s] - target[s]) <= 400 for s in sizes)
+    tokenizer, want = Tokenizer.from_file(TOKENIZER), Counter()
+    for r in after[3]:
+        ids = np.array(tokenizer.encode(r["text"], add_special_tokens=False).ids + [0], "<u4")
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            want[r["doc_id"], k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in after[4]) == want
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in after[4])
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:])) and all(o + n <= 2048 for _, o, n in places)
+
+
+def test_long_texts_in_every_operator(spark):
+    long = " ".join(f"w{i % 977}x{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long + " end", "en", "a", 1), (3, "short", "en", "a", 5)], DOCS)
+    assert {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(df))} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"] for r in rows(corpus_pipeline.drop_near_copies(spark, df, D))} == {1, 3}
+    assert {(r["doc_id"], r["rep_id"]) for r in rows(passages.near_duplicates(df))} == {(2, 1)}
+    assert secrets.redact(df).count() == 3 and mixing.mix(df).count() == 3
+    page = "<article>" + "<p>A paragraph of some length about the subject, with words in it.</p>" * 20_000 + "</article>"
+    assert len(html.main_text(page).split()) == 20_000 * 12
+
+
+def test_classifiers_look_at_the_text_alone(spark):
+    read = lambda t: spark.read.parquet(f"{D}/{t}.parquet")
+    docs, labels = read("documents"), read("labels")
+    weights, bias = quality.fit(quality.sample(docs, labels, "quality", 100, 10_000))
+    moved = docs.select((F.col("doc_id") + 7).alias("doc_id"), "text", F.lit("xx").alias("lang"), F.lit("yy").alias("source"))
+    a = {r["doc_id"]: r["score"] for r in rows(quality.score(docs, weights, bias))}
+    b = {r["doc_id"] - 7: r["score"] for r in rows(quality.score(moved, weights, bias))}
+    assert a == pytest.approx(b)
+    turned = labels.withColumn("quality", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again, _ = quality.fit(quality.sample(docs, turned, "quality", 100, 10_000))
+    assert np.array_equal(weights, again)  # labels of held-out rows are never seen
+
+
+def test_secrets_in_findings_of_other_rows(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    findings = secrets.labelled_findings(spark, 9000)
+    fresh = secrets.features(findings.subtract(secrets.labelled_findings(spark, secrets.FINDINGS)))
+    scored = secrets.train(spark).transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="x").transform(fresh))
+    n = {(r["label"], r["y"]): r["count"] for r in rows(scored.groupBy("label", "y").count())}
+    assert n.get((1.0, 1.0), 0) >= 0.97 * (n.get((1.0, 1.0), 0) + n.get((1.0, 0.0), 0)) and n.get((0.0, 0.0), 0) >= 0.97 * (n.get((0.0, 0.0), 0) + n.get((0.0, 1.0), 0))
