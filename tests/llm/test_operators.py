@@ -493,16 +493,14 @@ def test_quality_counts_pairs_of_words():
 
 
 @pytest.mark.parametrize("alike", [True, False])
-def test_crowded_lists_of_windows(spark, monkeypatch, alike):
+def test_crowded_lists_of_windows(spark, alike):
     rng = random.Random(12)
     text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     phrase, shared = text(30), text(70)
     docs = {k: text(60) + (shared if alike else phrase) + text(60) for k in range(60)}
     for k in range(20):  # pairs among those that have the phrase alone in common
         docs |= {100 + 2 * k: (own := text(40) + phrase + text(40)) + text(30), 101 + 2 * k: text(50) + own}
-    monkeypatch.setattr(passages, "LIST_ROWS", 8)
-    monkeypatch.setattr(passages.lists_met, "__defaults__", (8,))
-    got = rows(passages.near_duplicates(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")))
+    got = rows(passages.near_duplicates(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string"), list_rows=8))
     found = [(r["doc_id"], r["rep_id"]) for r in got]
     assert {(max(p), min(p)) for p in found if min(p) >= 100} == {(101 + 2 * k, 100 + 2 * k) for k in range(20)}
     of = components(docs, found)
