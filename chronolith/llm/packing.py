@@ -84,7 +84,7 @@ class Words:
     memory of one worker, not the result: beyond it what is kept is dropped and encoded again.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -207,22 +207,29 @@ def meetings(size: np.ndarray, cls: np.ndarray, n: np.ndarray, at: np.ndarray, f
     """(lesser, greater) classes that may be similar, of lists of these sizes, one after the other.
 
     n: shingles of a class, at: place of the list's shingle among them, side: pairs of one side don't count unless it is
-    -1. What the sizes and places rule out goes, and of classes of at least FEW shingles what the SimHash does.
+    -1. What the sizes and places rule out goes, and of classes of at least FEW shingles what the SimHash does. Lists of
+    PAIRS pairs, or a single one, are compared at a time.
     """
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(cls))  # members of the list from here on
-    out, apart, start = [], 1, np.arange(len(cls))
-    while True:
-        start = start[left[start] > apart]
-        if not len(start):
-            break
-        i, j = start, start + apart
-        least = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
-        keep = (np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & ((side[i] < 0) | (side[i] != side[j]))
-        i, j = i[keep], j[keep]
-        near = (np.minimum(n[i], n[j]) < FEW) | (np.bitwise_count(fp[i] ^ fp[j]) <= bits)
-        out.append(np.stack([np.minimum(cls[i], cls[j])[near], np.maximum(cls[i], cls[j])[near]], axis=1))
-        apart += 1
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    out, turn, ends = [np.zeros((0, 2), np.int64)], np.cumsum(size.astype(np.int64) ** 2 // 2) // PAIRS, np.cumsum(size)
+    for k in np.unique(turn):
+        own = np.flatnonzero(turn == k)
+        rows = slice(ends[own[0]] - size[own[0]], ends[own[-1]])
+        c, m, p, f, s = cls[rows], n[rows], at[rows], fp[rows], side[rows]
+        left = np.repeat(np.cumsum(size[own]), size[own]) - np.arange(len(c))  # members of the list from here on
+        apart, start = 1, np.arange(len(c))
+        while True:
+            start = start[left[start] > apart]
+            if not len(start):
+                break
+            i, j = start, start + apart
+            least = similarity / (1 + similarity) * (m[i] + m[j]) - 1e-9
+            keep = (np.minimum(p[i], p[j]) + np.minimum(m[i] - p[i], m[j] - p[j]) >= least) & ((s[i] < 0) | (s[i] != s[j]))
+            i, j = i[keep], j[keep]
+            near = (np.minimum(m[i], m[j]) < FEW) | (np.bitwise_count(f[i] ^ f[j]) <= bits)
+            i, j = i[near], j[near]
+            out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], axis=1))
+            apart += 1
+    return np.concatenate(out)
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -293,14 +300,7 @@ def block_meetings(posted: DataFrame, similarity: float, bits: int, list_rows: i
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             size, m = np.diff(batch.column(0).offsets.to_numpy()), batch.column(0).flatten()
             cls, n, at, fp, side = (m.field(k).to_numpy() for k in range(5))
-            ends, found = np.cumsum(size), [np.zeros((0, 2), np.int64)]
-            # lists of PAIRS pairs at a time, or a single one
-            turn = np.cumsum(size.astype(np.int64) ** 2 // 2) // PAIRS
-            for k in np.unique(turn):
-                own = turn == k
-                rows = slice(ends[own][0] - size[own][0], ends[own][-1])
-                found.append(meetings(size[own], cls[rows], n[rows].astype(np.int64), at[rows].astype(np.int64), fp[rows].view(np.uint64), side[rows], similarity, bits))
-            pairs = np.concatenate(found)
+            pairs = meetings(size, cls, n.astype(np.int64), at.astype(np.int64), fp.view(np.uint64), side, similarity, bits)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
         return one
