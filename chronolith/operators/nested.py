@@ -61,8 +61,13 @@ def last_write(rows: DataFrame, keys: list[str], value: str, order: str) -> Data
     return rows.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
-def first_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+def first_n(rows: DataFrame, keys: list[str], order: list[str], n: int, flag: str | None = None) -> DataFrame:
+    """The first n rows of each key; flag: a column that says whether the key had more."""
+    w = Window.partitionBy(*keys)
+    out = rows.withColumn("_n", F.row_number().over(w.orderBy(*order)))
+    if flag:
+        out = out.withColumn(flag, F.count("*").over(w) > n)
+    return out.where(F.col("_n") <= n).drop("_n")
 
 
 def padded(rows: DataFrame, keys: list[str], index: str, value: str, fill) -> DataFrame:

@@ -266,7 +266,7 @@ def a10_last_write(spark, d):
 @query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n_elements, CAST(len(embedding) * 4 AS BIGINT) AS n_bytes FROM embeddings")
 def a12_tensor_totals(spark, d):
     e = table(spark, d, "embeddings")
-    n = tensor.extent(F.array(F.size("embedding").cast("long")))
+    n = tensor.extent(F.array(F.lit(4).cast("long"), F.lit(4).cast("long"), (F.size("embedding") / 16).cast("long")))
     return e.select("vec_id", n.alias("n_elements"), (n * 4).alias("n_bytes"))
 
 

@@ -521,3 +521,14 @@ def p2_tensor_of_leaf(spark, d):
 def p8_view_slicing(spark, d):
     part, _ = tensor.view(F.col("embedding"), [4, 4, 4], [("at", 2), ("from", 1), ("between", 1, 3)])
     return table(spark, d, "embeddings").select("vec_id", F.explode(part).alias("v"))
+
+
+@query("SELECT user_id, event_id, n > 60 AS more FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE i <= 60")
+def o5_first_n_flagged(spark, d):
+    return nested.first_n(table(spark, d, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], 60, flag="more").select("user_id", "event_id", "more")
+
+
+@query("SELECT p_partkey, p_brand || '/' || (p_size % 5) || '/x' AS plain FROM part")
+def f6_tensor_names(spark, d):
+    name = F.concat("p_brand", F.lit("&"), F.pmod("p_size", F.lit(5)).cast("string"), F.lit("&x"))
+    return table(spark, d, "part").select("p_partkey", paths.untensor(name).alias("plain"))
