@@ -551,7 +551,6 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         return 1 / (1 + np.exp(-((times @ weights[ids] / times.sum() if len(ids) else 0) + bias))) >= quality.THRESHOLD
 
     assert {r["doc_id"] for r in after[0]} == {k for k, r in whole.items() if accepted(r["text"])}
-    assert sum(known.get(r["doc_id"], 1) for r in after[0]) >= 0.95 * len(after[0])
     cut = {r["doc_id"]: {tuple(w[i : i + 5]) for w in [r["text"].lower().split()] for i in range(len(w) - 4)} for r in after[0]}
     of = components(cut, [(a, b) for a in cut for b in cut if a < b and len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b])])
     assert {r["doc_id"] for r in after[1]} == set(of.values())
