@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import map_rows, materialize
 
+#: Words that a worker remembers; more make it faster and larger, and change no result.
+KEPT_WORDS = 300_000
 #: Rows of one length in one ranking group, about.
 GROUP_ROWS = 100_000
 
@@ -84,7 +86,7 @@ class Words:
     memory of one worker, not the result: beyond it what is kept is dropped and encoded again.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -140,7 +142,7 @@ class Words:
         return [b"".join(map(kept.__getitem__, words)) for words in split]
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0, kept_words: int = KEPT_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) per piece of each row's token ids followed by the end id.
 
     Rows of more than capacity ids are cut into pieces of capacity, the last one shorter. Null text is empty, which
@@ -151,6 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         if tokenizer not in _WORDS:
             _WORDS[tokenizer] = Words(tokenizer)
         words = _WORDS[tokenizer]
+        words.most = kept_words
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
@@ -192,10 +195,10 @@ def assign(cut: DataFrame, capacity: int = 2048, group_rows: int = GROUP_ROWS) -
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0, kept_words: int = KEPT_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece.
 
     Every row is packed, repeated rows and null ids too; an empty table gives no rows; other columns are ignored.
     Which piece of a length takes which slot depends on a hash of the piece, so reruns agree.
     """
-    return assign(materialize(pieces(docs, tokenizer, id_col, text_col, capacity, end), "pieces"), capacity)
+    return assign(materialize(pieces(docs, tokenizer, id_col, text_col, capacity, end, kept_words), "pieces"), capacity)
