@@ -15,6 +15,8 @@ from chronolith.llm import mixing, packing, quality, secrets, simhash
 from chronolith.llm.common import discard, discard_since, mark, materialize
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Fewer than packing alone takes: workers of a pipeline have been through its other stages.
+KEPT_WORDS = 200_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are one end id; repeated rows and null ids are packed like any other; an empty table gives no
     rows; other columns are ignored.
     """
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, kept_words=KEPT_WORDS)
 
 
 STAGES = [
