@@ -450,6 +450,50 @@ def test_short_passages_at_the_similarity(spark):
     assert len({r["doc_id"] // 2 for r in got if r["doc_id"] // 2 == r["rep_id"] // 2}) >= 398
 
 
+def changed(words, at, new):
+    return words[:at] + new + words[at + 1 :]
+
+
+def test_partners_of_what_is_like_only_one_of_two():
+    rng = random.Random(14)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for crowd in (0, 20):  # without and with the filter by rare tokens
+        own = text(60)
+        texts = [changed(own, 15, text(1)) + text(9), own + text(9), changed(own, 45, text(1)) + text(9), *(text(80) for _ in range(crowd))]
+        members = [(100 + k, k, 0, len(x) - 5, passages.shingles(" ".join(x)).astype(np.uint16)) for k, x in enumerate(texts)]
+        found = [p[:2] for p in passages.partners(members, 46, 0.8, 5)[0]]
+        of = components(range(len(texts)), found)
+        assert of[0] == of[1] == of[2] and len(set(of.values())) == 1 + crowd
+
+
+@pytest.mark.parametrize("list_rows", [1024, 4])
+def test_passages_like_only_one_of_two(spark, list_rows):
+    rng = random.Random(15)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs = {}
+    for k in range(60):  # the shortest is like the next one, which is like the longest
+        own = text(60)
+        docs |= {3 * k: text(20) + changed(own, 15, text(1)) + text(9), 3 * k + 1: text(60) + own + text(20), 3 * k + 2: text(50) + changed(own, 45, text(1)) + text(80)}
+    crowd = text(60)  # a list of many blocks: one side of the crowd is like the middle alone, and that like the other
+    for k in range(30):
+        docs[1000 + k] = text(10 + k) + (changed(crowd, 15, text(1)) if k < 14 else crowd if k == 14 else changed(crowd, 45, text(1))) + text(20)
+    got = rows(passages.near_duplicates(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string"), list_rows=list_rows))
+    of = components(docs, [(r["doc_id"], r["rep_id"]) for r in got])
+    assert all(of[3 * k] == of[3 * k + 1] == of[3 * k + 2] == 3 * k for k in range(60))
+    assert {of[k] for k in range(1000, 1030)} == {1000}
+
+
+def test_passages_with_words_put_in(spark):
+    rng = random.Random(16)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs = {}
+    for k in range(200):  # 42 of 52 stretches in common
+        own = text(50)
+        docs |= {2 * k: text(30) + own + text(30), 2 * k + 1: text(20) + own[:25] + text(2) + own[25:] + text(90)}
+    got = rows(passages.near_duplicates(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")))
+    assert len({r["doc_id"] // 2 for r in got if r["doc_id"] // 2 == r["rep_id"] // 2}) >= 198
+
+
 def test_secrets_run_to_their_end(spark):
     rng = random.Random(8)
     body = lambda n: "".join(rng.choice("ABCDEFabcdef0123456789") for _ in range(n))
