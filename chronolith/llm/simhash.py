@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from chronolith.llm.common import connected_components, discard_since, map_rows, mark, materialize
+from chronolith.llm.common import connected_components, discard_since, map_rows, mark, materialize, tidy
 
 #: Byte positions of the lists: each two positions lie outside one of them.
 _FOURS = [tuple(sorted(set(range(8)) - set(out))) for out in ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (2, 3, 4, 5), (2, 3, 6, 7), (4, 5, 6, 7))]
@@ -284,7 +284,7 @@ def stream_meetings(posted: DataFrame, similarity: float, bits: int, list_rows:
         if held.shape[1]:
             yield table(*finish(np.ascontiguousarray(held)))
 
-    return posted.select("h", "at", "cls", "n", "fp").repartition("h").sortWithinPartitions("h").mapInArrow(run, "src long, dst long")
+    return posted.select("h", "at", "cls", "n", "fp").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(run), "src long, dst long")
 
 
 def block_meetings(posted: DataFrame, similarity: float, bits: int, list_rows: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import map_rows
+from chronolith.llm.common import map_rows, tidy
 
 #: Words, and characters of them, that a task remembers at most; beyond it they are scored again.
 KEPT_WORDS, KEPT_CHARS = 200_000, 16_000_000
@@ -54,7 +54,7 @@ def learn(rows: DataFrame, bag: Callable[[str], bytes], train: Callable[[list[tu
         got = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         yield pa.RecordBatch.from_arrays([pa.array([train(got)], pa.binary())], ["model"])
 
-    return bytes(map_rows(rows, bags, "doc_id long, bag binary, y int").repartition(1).mapInArrow(model, "model binary").first()["model"])
+    return bytes(map_rows(rows, bags, "doc_id long, bag binary, y int").repartition(1).mapInArrow(tidy(model), "model binary").first()["model"])
 
 
 class Scorer:

@@ -2,8 +2,11 @@
 
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -450,6 +453,30 @@ def test_short_passages_at_the_similarity(spark):
     assert len({r["doc_id"] // 2 for r in got if r["doc_id"] // 2 == r["rep_id"] // 2}) >= 398
 
 
+def test_tasks_give_their_memory_back():
+    code = """
+import re, sys
+import numpy as np, pyarrow as pa
+from chronolith.llm import common
+held = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+def make():
+    words = {}
+    def one(batch):
+        words.update((k, np.zeros(40)) for k in range(500_000))
+        sys.last = np.zeros(40)  # what comes last stays, so that the heap can't shrink by itself
+        return batch
+    return one
+class Table:
+    def mapInArrow(self, run, schema):
+        return [b.num_rows for b in run(iter([pa.RecordBatch.from_pydict({"a": [1]})]))]
+before = held()
+assert common.map_rows(Table(), make, "a long") == [1]
+print(held() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=Path(__file__).parents[2])
+    assert int(got.stdout.split()[-1]) < 60, got.stderr
+
+
 def changed(words, at, new):
     return words[:at] + new + words[at + 1 :]
 
