@@ -4,6 +4,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -683,3 +684,17 @@ def test_secrets_in_findings_of_other_rows(spark):
     scored = secrets.train(spark).transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="x").transform(fresh))
     n = {(r["label"], r["y"]): r["count"] for r in rows(scored.groupBy("label", "y").count())}
     assert n.get((1.0, 1.0), 0) >= 0.97 * (n.get((1.0, 1.0), 0) + n.get((1.0, 0.0), 0)) and n.get((0.0, 0.0), 0) >= 0.97 * (n.get((0.0, 0.0), 0) + n.get((0.0, 1.0), 0))
+
+
+def test_partners_settle_windows_of_the_same_tokens_once():
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    phrase = text(48)
+    kinds = [text(k % 6) + phrase[:23] + text(3) + phrase[23:] + text(30 - k % 6) for k in range(16)]
+    tokens = [passages.shingles(" ".join(x)).astype(np.uint16) for x in kinds]
+    members = [(len(t), 16 * k + j, 0, len(t) - 1, t) for k in range(40) for j, t in enumerate(tokens)]
+    began = time.process_time()
+    found, first = passages.partners(members, 46, 0.8, 5)
+    assert time.process_time() - began < 1
+    of = components(range(640), [p[:2] for p in found if p[6]])
+    assert all(of[16 * k + j] == j for k in range(40) for j in range(16)) and [m[1] for m in first] == sorted(range(16), key=lambda j: (len(tokens[j]), j))
