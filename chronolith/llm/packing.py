@@ -104,24 +104,25 @@ class Words:
         self.cores: dict[str, bytes] = {}
 
     def _encode(self, new: list[str]) -> None:
-        whole = []
+        whole, kept, cores, short, tokenize = [], self.kept, self.cores, self.short, self.model.tokenize
         for w in new:
             core = w.rstrip(_MARKS)
             low = core.lower()
-            if not (self.short and _LATIN.fullmatch(low)):
+            plain = low.isascii() and low.isalpha()  # then its bytes are their own letters
+            if not (short and (plain or _LATIN.fullmatch(low))):
                 whole.append(w)
                 continue
-            ids = self.cores.get(low)
+            ids = cores.get(low)
             if ids is None:
-                text = low.encode().decode("latin-1").translate(self.letters)
-                self.cores[low] = ids = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-            marks = w[len(core) :]
-            if marks:
-                more = self.kept.get(marks)
+                text = low if plain else low.encode().decode("latin-1").translate(self.letters)
+                cores[low] = ids = array("I", [t.id for t in tokenize(text)]).tobytes()
+            if len(core) < len(w):
+                marks = w[len(core) :]
+                more = kept.get(marks)
                 if more is None:
-                    self.kept[marks] = more = self._whole([marks])[0]
+                    kept[marks] = more = self._whole([marks])[0]
                 ids += more
-            self.kept[w] = ids
+            kept[w] = ids
         for at in range(0, len(whole), 20_000):
             some = whole[at : at + 20_000]
             self.kept.update(zip(some, self._whole(some)))
@@ -135,11 +136,16 @@ class Words:
             self._clear()
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         kept = self.kept
-        new = [w for w in set().union(*split) if w not in kept]
+        found = [list(map(kept.get, words)) for words in split]
+        gaps = [[k for k, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        new = list({words[k] for words, at in zip(split, gaps) for k in at})
         if new:
             self._encode(new)
             self.chars += sum(map(len, new))
-        return [b"".join(map(kept.__getitem__, words)) for words in split]
+        for words, ids, at in zip(split, found, gaps):
+            for k in at:
+                ids[k] = kept[words[k]]
+        return [b"".join(ids) for ids in found]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0, kept_words: int = KEPT_WORDS) -> DataFrame:

@@ -698,3 +698,23 @@ def test_partners_settle_windows_of_the_same_tokens_once():
     assert time.process_time() - began < 1
     of = components(range(640), [p[:2] for p in found if p[6]])
     assert all(of[16 * k + j] == j for k in range(40) for j in range(16)) and [m[1] for m in first] == sorted(range(16), key=lambda j: (len(tokens[j]), j))
+
+
+def test_packing_looks_known_words_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def _ask(self, how, *key):
+            self.asked += 1
+            return how(self, *key)
+
+        __contains__ = lambda self, key: self._ask(dict.__contains__, key)
+        __getitem__ = lambda self, key: self._ask(dict.__getitem__, key)
+        get = lambda self, key, other=None: self._ask(dict.get, key, other)
+
+    words = packing.Words(TOKENIZER)
+    texts = ["one two, Two! ité 中文 x1\t3.5 one", "", "two,\n one", "ZÜRICH straßen İx ſo <|endoftext|>"]
+    whole = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert words.encode(texts) == whole
+    words.kept = Counted(words.kept)
+    assert words.encode(texts) == whole and words.kept.asked == sum(len(re.split("[ \t\n]", x)) for x in texts)
