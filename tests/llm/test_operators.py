@@ -718,3 +718,15 @@ def test_packing_looks_known_words_up_once():
     assert words.encode(texts) == whole
     words.kept = Counted(words.kept)
     assert words.encode(texts) == whole and words.kept.asked == sum(len(re.split("[ \t\n]", x)) for x in texts)
+
+
+def test_materialize_sends_workers_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_arrays([[b.num_rows]], ["n"])
+
+    got = [r["n"] for r in rows(common.materialize(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "sizes"))]
+    assert sum(got) == 5000 and max(got) <= common.BATCH_ROWS and spark.conf.get(name) == before
