@@ -14,6 +14,7 @@ six bytes in common, thus 65,536 distinct fingerprints at most, whatever the siz
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -203,15 +204,16 @@ def signed(docs: DataFrame, similarity: float, width: int, text_col: str = "text
     return map_rows(docs, make, schema)
 
 
-def meetings(size: np.ndarray, cls: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.ndarray, side: np.ndarray, similarity: float, bits: int) -> np.ndarray:
-    """(lesser, greater) classes that may be similar, of lists of these sizes, one after the other.
+def meetings(size: np.ndarray, cls: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.ndarray, side: np.ndarray, similarity: float, bits: int) -> Iterator[np.ndarray]:
+    """(lesser, greater) classes that may be similar, of lists of these sizes, one after the other; the pairs of a turn at a time.
 
     n: shingles of a class, at: place of the list's shingle among them, side: pairs of one side don't count unless it is
     -1. What the sizes and places rule out goes, and of classes of at least FEW shingles what the SimHash does. Lists of
-    PAIRS pairs, or a single one, are compared at a time.
+    PAIRS pairs, or a single one, are compared in a turn.
     """
-    out, turn, ends = [np.zeros((0, 2), np.int64)], np.cumsum(size.astype(np.int64) ** 2 // 2) // PAIRS, np.cumsum(size)
+    turn, ends = np.cumsum(size.astype(np.int64) ** 2 // 2) // PAIRS, np.cumsum(size)
     for k in np.unique(turn):
+        out = [np.zeros((0, 2), np.int64)]
         own = np.flatnonzero(turn == k)
         rows = slice(ends[own[0]] - size[own[0]], ends[own[-1]])
         c, m, p, f, s = cls[rows], n[rows], at[rows], fp[rows], side[rows]
@@ -229,7 +231,7 @@ def meetings(size: np.ndarray, cls: np.ndarray, n: np.ndarray, at: np.ndarray, f
             i, j = i[near], j[near]
             out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], axis=1))
             apart += 1
-    return np.concatenate(out)
+        yield np.concatenate(out)
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -260,7 +262,8 @@ def stream_meetings(posted: DataFrame, similarity: float, bits: int, list_rows:
             size = np.diff(np.r_[starts, m.shape[1]])
             over, keep = m[0, starts[size > list_rows]], np.repeat((size > 1) & (size <= list_rows), size)
             _, at, cls, n, fp = m[:, keep]
-            pairs = meetings(size[(size > 1) & (size <= list_rows)], cls, n, at, fp.view(np.uint64), np.full(len(cls), -1), similarity, bits)
+            found = meetings(size[(size > 1) & (size <= list_rows)], cls, n, at, fp.view(np.uint64), np.full(len(cls), -1), similarity, bits)
+            pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
             return np.concatenate([pairs[:, 0], over]), np.ma.array(np.concatenate([pairs[:, 1], over]), mask=np.arange(len(pairs) + len(over)) >= len(pairs))
 
         def table(src, dst):
@@ -296,16 +299,16 @@ def block_meetings(posted: DataFrame, similarity: float, bits: int, list_rows: i
     placed = held.select("h", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.struct("cls", "n", "at", "fp", side.alias("side")).alias("m"))
     lists = placed.groupBy("h", "lo", "hi").agg(F.collect_list("m").alias("m")).where(F.size("m") > 1).select("m")
 
-    def meet():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def meet(batches):
+        for batch in batches:
             size, m = np.diff(batch.column(0).offsets.to_numpy()), batch.column(0).flatten()
             cls, n, at, fp, side = (m.field(k).to_numpy() for k in range(5))
-            pairs = meetings(size, cls, n.astype(np.int64), at.astype(np.int64), fp.view(np.uint64), side, similarity, bits)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
-
-        return one
+            for pairs in meetings(size, cls, n.astype(np.int64), at.astype(np.int64), fp.view(np.uint64), side, similarity, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
-    return map_rows(lists, meet, "src long, dst long")
+    # few bytes, much work: partitions of so many bytes each would be few
+    lists = lists.repartition(int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return lists.mapInArrow(tidy(meet), "src long, dst long")
 
 
 #: Shingles that go to every task instead of all postings to theirs.
@@ -318,7 +321,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """(cls, n, fp, text) of the classes wanted (cls), each from one of its rows; texts aren't shuffled where few are wanted."""
-    own = materialize(classes.select("cls", "row", "n", "fp").join(_few(wanted), "cls", "left_semi"), "wanted")
+    own = materialize(classes.select("cls", "row", "n", "fp").join(_few(wanted), "cls", "left_semi"), "wanted", small=True)
     return rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text")).join(_few(own), "row").select("cls", "n", "fp", "text")
 
 
@@ -329,12 +332,12 @@ def candidates(rows: DataFrame, classes: DataFrame, similarity: float, width: in
     out, and the classes that have it there take rarer ones into their prefix, with which they meet everyone else's.
     What is a long list even then is compared block by block.
     """
-    met = materialize(stream_meetings(postings(classes), similarity, bits, list_rows).distinct(), "met")
+    met = materialize(stream_meetings(postings(classes), similarity, bits, list_rows).distinct(), "met", small=True)
     pairs, hot = met.where("dst is not null"), met.where("dst is null").select(F.col("src").alias("h")).distinct()
     if hot.isEmpty():
         return pairs
     posted = postings(classes)
-    touched = materialize(posted.join(_few(hot), "h", "left_semi").select("cls").distinct(), "touched")
+    touched = materialize(posted.join(_few(hot), "h", "left_semi").select("cls").distinct(), "touched", small=True)
     texts = _texts(rows, classes, touched, text_col)
     if hot.count() <= BROADCAST_SHINGLES:
         common = np.sort(hot.toArrow().column("h").to_numpy())  # 4 MB at most
@@ -366,12 +369,12 @@ def candidates(rows: DataFrame, classes: DataFrame, similarity: float, width: in
 
         return one
 
-    again = materialize(map_rows(held.select("cls", "n", "fp", "text", "hot"), more, "h long, at int, cls long, n int, fp long"), "rarer")
-    keys = materialize(again.select("h").distinct().join(_few(hot), "h", "left_anti"), "rarer-keys")
+    again = materialize(map_rows(held.select("cls", "n", "fp", "text", "hot"), more, "h long, at int, cls long, n int, fp long"), "rarer", small=True)
+    keys = materialize(again.select("h").distinct().join(_few(hot), "h", "left_anti"), "rarer-keys", small=True)
     # places of the two orders don't compare, so they don't count here
     both = again.union(posted.join(_few(keys), "h", "left_semi").select("h", F.lit(0).alias("at"), "cls", "n", "fp"))
-    both = materialize(both, "rarer-lists")
-    second = materialize(stream_meetings(both, similarity, bits, list_rows).distinct(), "met")
+    both = materialize(both, "rarer-lists", small=True)
+    second = materialize(stream_meetings(both, similarity, bits, list_rows).distinct(), "met", small=True)
     long = second.where("dst is null").select(F.col("src").alias("h")).distinct()
     pairs = pairs.union(second.where("dst is not null"))
     if not long.isEmpty():
@@ -384,8 +387,8 @@ def similar(rows: DataFrame, similarity: float, width: int, bits: int, text_col:
     one = lambda c: F.first(c).alias(c[1:])
     classes = rows.where("_n > 0").groupBy(F.col("_class").alias("cls")).agg(F.min("_row").alias("row"), one("_n"), one("_fp"), one("_prefix"))
     classes = materialize(classes, "classes")
-    met = materialize(candidates(rows, classes, similarity, width, bits, text_col, list_rows), "near")
-    nodes = materialize(met.select(F.col("src").alias("cls")).union(met.select(F.col("dst").alias("cls"))).distinct(), "nodes")
+    met = materialize(candidates(rows, classes, similarity, width, bits, text_col, list_rows), "near", small=True)
+    nodes = materialize(met.select(F.col("src").alias("cls")).union(met.select(F.col("dst").alias("cls"))).distinct(), "nodes", small=True)
 
     def spell():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -419,7 +422,7 @@ def similar(rows: DataFrame, similarity: float, width: int, bits: int, text_col:
 
         return one
 
-    left = materialize(map_rows(both(met, "bytes"), tally, "src long, dst long"), "tallied")
+    left = materialize(map_rows(both(met, "bytes"), tally, "src long, dst long"), "tallied", small=True)
     return map_rows(both(left, "held"), check, "src long, dst long")
 
 
@@ -440,6 +443,6 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, b
     ids = rows.select("_class", "_row", key.alias("key"))
     ids = ids.join(found, ids["_class"] == found["node"], "left").select(F.coalesce("component", "_class").alias("_group"), "key")
     first = ids.groupBy("_group").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = materialize(ids.join(first, "_group").where("key.row <> first.row").select(F.col("key.row").alias("_row")), "copies")
+    gone = materialize(ids.join(first, "_group").where("key.row <> first.row").select(F.col("key.row").alias("_row")), "copies", small=True)
     discard_since(docs.sparkSession, since, gone)
     return rows.join(_few(gone), "_row", "left_anti").select(*docs.columns)

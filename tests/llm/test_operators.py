@@ -730,3 +730,23 @@ def test_materialize_sends_workers_small_batches(spark):
 
     got = [r["n"] for r in rows(common.materialize(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "sizes"))]
     assert sum(got) == 5000 and max(got) <= common.BATCH_ROWS and spark.conf.get(name) == before
+
+
+def test_tables_take_few_files_without_checksums(spark):
+    table = common.materialize(spark.range(0, 5000, 1, 50).select("id"), "few", small=True)
+    names = [p.name for p in Path(table._table_path.removeprefix("file://")).iterdir()]
+    assert sum(x.endswith(".parquet") for x in names) < 10 and not [x for x in names if x.endswith(".crc")]
+    assert sorted(r["id"] for r in rows(table)) == list(range(5000))
+
+
+def test_crowded_blocks_give_their_pairs_turn_by_turn(spark):
+    lists, each = 40, 200
+    n = lists * each
+    cls, one = np.arange(n) % each + 1000 * (np.arange(n) // each), np.full(n, 20)
+    parts = list(simhash.meetings(np.full(lists, each), cls, one, np.zeros(n, np.int64), np.zeros(n, np.uint64), np.full(n, -1), 0.8, simhash.WIDE))
+    assert len(parts) > 1 and max(map(len, parts)) <= simhash.PAIRS + each * each // 2
+    pairs = np.concatenate(parts)
+    assert len(np.unique(pairs, axis=0)) == len(pairs) == lists * each * (each - 1) // 2
+    posted = spark.createDataFrame([(h, 0, k, 20, 0) for h in (1, 2) for k in range(90)], "h long, at int, cls long, n int, fp long")
+    met = rows(simhash.block_meetings(posted, 0.8, simhash.WIDE, 20).distinct())
+    assert {(r["src"], r["dst"]) for r in met} == {(a, b) for a in range(90) for b in range(a + 1, 90)}
