@@ -750,3 +750,38 @@ def test_crowded_blocks_give_their_pairs_turn_by_turn(spark):
     posted = spark.createDataFrame([(h, 0, k, 20, 0) for h in (1, 2) for k in range(90)], "h long, at int, cls long, n int, fp long")
     met = rows(simhash.block_meetings(posted, 0.8, simhash.WIDE, 20).distinct())
     assert {(r["src"], r["dst"]) for r in met} == {(a, b) for a in range(90) for b in range(a + 1, 90)}
+
+
+def test_crowded_lists_look_pairs_up_by_their_rare_tokens(monkeypatch):
+    rng, least, n = np.random.default_rng(5), 46, 420
+    shared = np.arange(9, dtype=np.uint16)
+    held = [np.concatenate([shared, rng.integers(9, 65536, least - 9).astype(np.uint16)]) for _ in range(n)]
+    for k in range(0, 40, 2):  # near copies, at most 4 of 46 tokens apart
+        held[k + 1] = held[k].copy()
+        held[k + 1][rng.choice(np.arange(9, least), 4, replace=False)] = rng.integers(9, 65536, 4)
+    for k in range(60, 90):  # repetitive ones
+        held[k] = np.concatenate([np.repeat(shared[: 3 + k % 5], 20), shared])[: least + k % 7].astype(np.uint16)
+    held = [held[k] for k in rng.permutation(n)]
+    doc, root, tokens = np.arange(n), np.arange(n), [x.tobytes() for x in held]
+    fewest = np.array([int(np.ceil(0.8 * min(len(set(x[a : a + least].tolist())) for a in range(len(x) - least + 1)))) for x in held])
+    own, places = np.repeat(np.arange(n), [len(x) for x in held]), 0.75 * least
+    i, j, common, taken = passages.looked_up(own, np.concatenate(held), fewest, doc, root, places)
+    found, may = set(zip(i.tolist(), j.tolist())), 0
+    for a in range(n):
+        for b in range(a + 1, n):
+            x, y = held[a], held[b]
+            if len(np.intersect1d(x, y)) >= fewest[b] and min(np.isin(x, y).sum(), np.isin(y, x).sum()) >= places:
+                may += 1
+                assert (a, b) in found or min(common[a], common[b]) >= fewest[b] and min(taken[a], taken[b]) >= places
+    assert may >= 20 and len(found) < 100
+
+    def parts():
+        k, r, _, _ = passages.compared(np.zeros(n, np.int64), doc, tokens, root, least, 0.8, 5)
+        to = np.arange(n)
+        for a, b in zip(k, r):
+            to[to == to[a]] = to[b]
+        return {tuple(np.flatnonzero(to == x)) for x in set(to.tolist())}
+
+    got = parts()
+    monkeypatch.setattr(passages, "MANY", n + 1)  # every pair, one after the other
+    assert got == parts() and any(len(x) > 1 for x in got)
