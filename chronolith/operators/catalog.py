@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import paths
+from chronolith.operators.tasks import spread
 
 #: Dimensions that shapes may have.
 RANKS = 8
@@ -79,8 +80,8 @@ def ragged_shape(rows: DataFrame, keys: list[str], shape: str = "shape") -> Data
 
 
 def shapes(leaves: DataFrame) -> DataFrame:
-    """(path, time_idx, shape): the shape of each step, as the last write left it."""
-    return leaves.groupBy("path", "time_idx").agg(F.max_by("shape", "seq").alias("shape"))
+    """(path, time_idx, shape): the shape of each step, as the last write left it. leaves are counted first, and spread by their number."""
+    return spread(leaves, ["path", "time_idx"], leaves.count()).groupBy("path", "time_idx").agg(F.max_by("shape", "seq").alias("shape"))
 
 
 def counters(leaves: DataFrame) -> DataFrame:

@@ -423,8 +423,9 @@ def r7_steps_around(spark, d):
 
 @query("SELECT 'part/' || l_partkey AS path, CAST(l_linenumber AS INTEGER) AS time_idx, CAST(arg_max(l_suppkey, l_orderkey) AS BIGINT) AS d0 FROM (SELECT l_partkey, l_linenumber, l_orderkey, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL) GROUP BY ALL")
 def r12_shape_of_step(spark, d):
-    x = table(spark, d, "lineitem").groupBy("l_partkey", "l_linenumber", F.col("l_orderkey").alias("seq")).agg(F.max("l_suppkey").alias("s"))
-    rows = x.select(F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_linenumber").cast("int").alias("time_idx"), F.array("s").alias("shape"), "seq")
+    x = table(spark, d, "lineitem")
+    seq = F.when(F.col("l_orderkey").isNotNull(), F.struct("l_orderkey", "l_suppkey")).alias("seq")
+    rows = x.select(F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_linenumber").cast("int").alias("time_idx"), F.array("l_suppkey").alias("shape"), seq)
     return catalog.shapes(rows).select("path", "time_idx", F.col("shape")[0].alias("d0"))
 
 

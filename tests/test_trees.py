@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import convert, paths, strings, values
 from chronolith.functions.plugins import GET_ONLY, PUT_ONLY, Plugin, PluginError, Plugins, with_provenance
-from chronolith.operators import bases, catalog, nested, timeops, trees, views
+from chronolith.operators import bases, catalog, nested, tasks, timeops, trees, views
 from chronolith.sources import backends, store
 from chronolith.streaming import append
 
@@ -332,3 +332,11 @@ def test_selections_of_flat_rows(spark):
     df = spark.createDataFrame([(0.5, 0), (1.5, 1), (2.5, 2)], "t double, i int")
     n = lambda p: df.where(selection.condition(p, F.col("t"), F.col("i"))).count()
     assert [n(p) for p in ("a[time=1:2]/x", "a[1]/x", "a[1:]/x", "a[:2]/x", "a[time=1]/x", "a/x")] == [1, 1, 2, 2, 3, 3]
+
+
+def test_shapes_take_tasks_as_rows_ask(spark, monkeypatch):
+    monkeypatch.setattr(tasks, "TASK_ROWS", 40)
+    rows = [(f"a/{k}", t, [k, t, n], n) for k in range(20) for t in range(5) for n in range(4)]
+    got = catalog.shapes(spark.createDataFrame(rows, "path string, time_idx int, shape array<int>, seq int"))
+    assert {(r["path"], r["time_idx"]): r["shape"] for r in got.collect()} == {(f"a/{k}", t): [k, t, 3] for k in range(20) for t in range(5)}
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4  # the session's shuffle partitions
