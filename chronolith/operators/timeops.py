@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import values
+from chronolith.operators.tasks import spread
 
 MODES = ("previous", "closest", "linear")
 
@@ -104,13 +105,16 @@ def get_slice_gaps(base: DataFrame, samples: DataFrame, requests: DataFrame, ele
 
     requests have element, signal and t. A step that the signal has is taken; else the nearer in time to the request
     of its neighbours, a tie going to the earlier one; for requests before 1970 the nearer in steps. Samples lie on the
-    base, so no sample lies between a request and the steps beside it, and one pass finds both kinds of neighbours.
+    base, so no sample lies between a request and the steps beside it, and one pass finds both kinds of neighbours. All three
+    are counted first, and spread over tasks by their number.
     """
+    count = base.count() + samples.count() + requests.count()
     nothing = F.lit(None).cast(samples.schema["v"].dataType)
     lacking = [F.lit(None).cast(samples.schema[c].dataType).alias(c) for c in signal]
     steps = base.select(*element, "t").distinct().select(*element, *lacking, "t", F.lit(0).alias("_kind"), nothing.alias("v"))
     rows = steps.unionByName(samples.where("v is not null").select(*element, *signal, "t", F.lit(1).alias("_kind"), "v"))
     rows = rows.unionByName(requests.select(*element, *signal, "t", F.lit(2).alias("_kind"), nothing.alias("v"))).withColumn("_b", F.floor(F.col("t") / bucket) if bucket else F.lit(0))
+    rows = spread(rows, [*element, "_b"] if bucket else element, count)
     up, down = [lambda keys, o=o: Window.partitionBy(*keys, "_b").orderBy(o, "_kind").rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("t"), F.desc("t"))]
     rows = rows.withColumn("_k", F.sum((F.col("_kind") == 0).cast("long")).over(up(element)))
     if bucket:

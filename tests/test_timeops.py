@@ -3,9 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-
-from chronolith.operators import timeops
+from chronolith.operators import tasks, timeops
 
 
 def plain(base, samples, t, mode):
@@ -101,3 +101,24 @@ def test_range_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([(1, 0.5, 1.0)], "k int, t double, v double").write.parquet(str(tmp_path / "x"))
     plan = timeops.get_range(spark.read.parquet(str(tmp_path / "x")), 0, 1)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(t,0.0)" in plan
+
+
+@pytest.mark.parametrize("bucket", [None])
+def test_gaps_take_tasks_as_rows_ask(spark, monkeypatch, bucket):
+    monkeypatch.setattr(tasks, "TASK_ROWS", 40)
+    rng = random.Random(7)
+    base_rows, rows, asked, want = [], [], [], {}
+    for k in range(12):
+        base = [i / 8 for i in sorted(rng.sample(range(24), 8))]
+        have = {t: float(rng.randrange(100)) for t in base if rng.random() < 0.6}
+        base_rows += [(k, t) for t in base]
+        rows += [(k, "a", t, v) for t, v in have.items()]
+        for t in [x / 16 for x in range(0, 96, 5)]:
+            asked.append((k, "a", t))
+            want[k, t] = plain(base, have, t, "closest")
+    got = timeops.get_slice_gaps(
+        spark.createDataFrame(base_rows, "k int, t double"), spark.createDataFrame(rows, "k int, s string, t double, v double"),
+        spark.createDataFrame(asked, "k int, s string, t double"), ["k"], ["s"], bucket,
+    )
+    assert {(r["k"], r["t"]): r["v"] for r in got.collect()} == want
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4  # the session's shuffle partitions
