@@ -93,10 +93,10 @@ def get_slice(samples: DataFrame, requests: DataFrame, keys: list[str], mode: st
 def _neighbours(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """(keys, _b, <column>_end, <column>_start): what is not null and nearest in the buckets before and after each."""
     there = F.when(F.col(column).isNotNull(), F.col("t"))
-    edge = rows.groupBy(*keys, "_b").agg(F.max_by(column, there).alias("e"), F.min_by(column, there).alias("s"))
+    edge = rows.groupBy(*keys, "_b").agg(F.max_by(column, there).alias("_e"), F.min_by(column, there).alias("_f"))
     line = Window.partitionBy(*keys).orderBy("_b")
-    before = F.last("e", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("s", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last("_e", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_f", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
     return edge.select(*keys, "_b", before.alias(f"{column}_end"), after.alias(f"{column}_start"))
 
 
@@ -118,9 +118,12 @@ def get_slice_gaps(base: DataFrame, samples: DataFrame, requests: DataFrame, ele
     up, down = [lambda keys, o=o: Window.partitionBy(*keys, "_b").orderBy(o, "_kind").rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("t"), F.desc("t"))]
     rows = rows.withColumn("_k", F.sum((F.col("_kind") == 0).cast("long")).over(up(element)))
     if bucket:
-        n = rows.groupBy(*element, "_b").agg(F.sum((F.col("_kind") == 0).cast("long")).alias("n"))
-        n = n.select(*element, "_b", (F.sum("n").over(Window.partitionBy(*element).orderBy("_b")) - F.col("n")).alias("_before"))
-        rows = rows.join(n, [*element, "_b"]).withColumn("_k", F.col("_k") + F.col("_before")).drop("_before")
+        at = F.when(F.col("_kind") == 0, F.col("t"))
+        n = rows.groupBy(*element, "_b").agg(F.count(at).alias("_n"), F.max(at).alias("_e"), F.min(at).alias("_f"))
+        line = Window.partitionBy(*element).orderBy("_b")
+        before, end = F.sum("_n").over(line) - F.col("_n"), F.max("_e").over(line.rowsBetween(Window.unboundedPreceding, -1))
+        n = n.select(*element, "_b", "_n", before.alias("_before"), end.alias("_end"), F.min("_f").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_start"))
+        rows = rows.join(n, [*element, "_b"]).withColumn("_k", F.col("_k") + F.col("_before"))
     rows = rows.withColumn("_base", F.when(F.col("_kind") == 0, F.struct("t", F.col("_k").alias("k"))))
     rows = rows.withColumn("_s", F.when(F.col("_kind") == 1, F.struct("t", F.col("_k").alias("k"), F.col("v").alias("x"))))
     found = rows
@@ -128,9 +131,12 @@ def get_slice_gaps(base: DataFrame, samples: DataFrame, requests: DataFrame, ele
         found = found.withColumn(f"{name}_lo", F.last(name, ignorenulls=True).over(up(keys))).withColumn(f"{name}_hi", F.last(name, ignorenulls=True).over(down(keys)))
     found = found.where("_kind = 2").drop("_base", "_s")
     if bucket:
-        for name, keys in (("_base", element), ("_s", [*element, *signal])):
-            found = found.join(_neighbours(rows, keys, name), [*keys, "_b"])
-            found = found.withColumn(f"{name}_lo", F.coalesce(f"{name}_lo", f"{name}_end")).withColumn(f"{name}_hi", F.coalesce(f"{name}_hi", f"{name}_start"))
+        last = F.when(F.col("_end").isNotNull(), F.struct(F.col("_end").alias("t"), F.col("_before").alias("k")))
+        first = F.when(F.col("_start").isNotNull(), F.struct(F.col("_start").alias("t"), (F.col("_before") + F.col("_n") + 1).alias("k")))
+        found = found.withColumn("_base_lo", F.coalesce("_base_lo", last)).withColumn("_base_hi", F.coalesce("_base_hi", first)).drop("_n", "_before", "_end", "_start")
+        keys = [*element, *signal]
+        found = spread(found, [*keys, "_b"], count).join(_neighbours(rows, keys, "_s"), [*keys, "_b"])
+        found = found.withColumn("_s_lo", F.coalesce("_s_lo", "_s_end")).withColumn("_s_hi", F.coalesce("_s_hi", "_s_start"))
     t, blo, bhi, slo, shi = (F.col(c) for c in ("t", "_base_lo", "_base_hi", "_s_lo", "_s_hi"))
     at = F.when(blo.isNull(), bhi).when(bhi.isNull(), blo).when(bhi["t"] - t <= t - blo["t"], bhi).otherwise(blo)
     found = found.withColumn("_at", at)
