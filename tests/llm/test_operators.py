@@ -785,3 +785,12 @@ def test_crowded_lists_look_pairs_up_by_their_rare_tokens(monkeypatch):
     got = parts()
     monkeypatch.setattr(passages, "MANY", n + 1)  # every pair, one after the other
     assert got == parts() and any(len(x) > 1 for x in got)
+
+
+def test_crowded_lists_alone_are_cut_anew(spark, monkeypatch):
+    plans, write = [], passages.materialize
+    monkeypatch.setattr(passages, "materialize", lambda df, name, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if name == "long" else None, write(df, name, *a))[1])
+    rows = [(k, " ".join(f"w{i}" for i in range(80)) + " " + " ".join(f"x{k}y{i}" for i in range(60))) for k in range(12)]
+    found = passages.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), list_rows=4)
+    assert {x for r in found.collect() for x in (r["doc_id"], r["rep_id"])} == set(range(12))
+    assert plans and all("> 1)" in p[p.index("MapInArrow") :] for p in plans)
